@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embed_dedup, exact_dedup, lang_id, packing, pii, simhash, token_table
+from . import chat_format, embed_dedup, exact_dedup, lang_id, packing, pii, sample_pieces, sharding, simhash, token_table
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op7_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_token_table, op4_language_id, op5_embedding_dedup, op8_simhash, op9_chat_format, op10_packing)
+    f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_token_table, op4_language_id, op5_embedding_dedup, op6_extendible_shards, op7_sample_pieces, op8_simhash, op9_chat_format, op10_packing)
 }
 
 ORACLES: dict[str, str] = {
@@ -58,4 +66,18 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
     """,
+    "op6_extendible_shards": f"""
+        WITH r AS (
+            SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+                CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
+            FROM documents
+        ), d AS (
+            SELECT r.*, CAST(depth AS INTEGER) AS depth, h >> (60 - depth) AS bucket FROM r, range(0, 61) t(depth)
+        ), s AS (
+            SELECT *, sum(n_bytes) OVER (PARTITION BY depth, bucket) AS shard_bytes FROM d
+        ), f AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY depth) AS k FROM s WHERE shard_bytes <= {sharding.LIMIT} OR depth = 60
+        )
+        SELECT doc_id, n_bytes, depth, bucket, CAST(0 AS BIGINT) AS page, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM f WHERE k = 1
+    """,
 }
