@@ -34,6 +34,15 @@ MARK = "▁"
 LITERAL = "\ud800"
 UNIT, TEMPERATURE = 32, 0.5
 LONGEST = 16
+#: Multiplier of the hash of a string's code points, and bits of a table of hashes.
+HASH, MIX, SLOTS = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xD6E8FEB86659FD93), 21
+
+
+
+def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of hashes in the first and the second table."""
+    shift = np.uint64(64 - SLOTS)
+    return ((h * MIX) >> shift).astype(np.int64), (((h ^ (h >> np.uint64(29))) * HASH) >> shift).astype(np.int64)
 
 
 class Pieces:
@@ -46,6 +55,23 @@ class Pieces:
         self.is_byte = [sp.is_byte(i) for i in range(n)]
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(n) if self.is_byte[i]}
         self.ids = {p: i for i, p in enumerate(self.piece) if not self.is_byte[i] and not sp.is_control(i) and not sp.is_unknown(i) and len(p) <= LONGEST}
+        # hashes of the pieces and the tables that find() uses
+        self.hashes = np.zeros(n + 1, np.uint64)
+        self.slots = np.full((2, 1 << SLOTS), -1, np.int32)
+        for p, i in self.ids.items():
+            h = 0
+            for c in p:
+                h = (h * int(HASH) + ord(c) + 1) & (1 << 64) - 1
+            self.hashes[i] = h
+            at = [int(x[0]) for x in places(np.array([h], np.uint64))]
+            k = 0 if self.slots[0, at[0]] < 0 else 1
+            assert self.slots[k, at[k]] < 0
+            self.slots[k, at[k]] = i
+        # the bytes of all pieces, one after another
+        raw = [bytes([int(p[3:5], 16)]) if b else p.replace(MARK, " ").encode() for p, b in zip(self.piece, self.is_byte, strict=True)]
+        self.blob = np.frombuffer(b"".join(raw), np.uint8)
+        self.size = np.fromiter(map(len, raw), np.int64, n)
+        self.start = np.cumsum(self.size) - self.size
         self.weight = np.exp(-TEMPERATURE * np.log(2.0 + np.arange(n)))
 
     def bytes_of(self, char: str) -> list[int]:
@@ -64,15 +90,21 @@ class Pieces:
 
     def tables(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Forward filtering: cumulative shares (unit, end, piece length) of the pieces that end at
-        each place, and their ids."""
+        each place, and their ids. Substrings of all units are looked up together by their hashes."""
         size = max(map(len, units))
+        n = np.fromiter(map(len, units), np.int64, len(units))
+        chars = np.frombuffer("".join(u.ljust(size, "\0") for u in units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, size).astype(np.uint64) + np.uint64(1)
         w = np.zeros((len(units), size + 1, LONGEST))
         ids = np.full((len(units), size + 1, LONGEST), -1, np.int32)
-        at: list[tuple[int, int, int, int]] = [(u, e, k - 1, i) for u, unit in enumerate(units) for e, own in enumerate(self.lattice(unit), 1) for k, i in own]
-        u, e, k, i = np.array(at).T
-        # a character as bytes is rarer than any piece
-        w[u, e, k] = np.where(i >= 0, self.weight[i], self.weight[-1] / 256)
-        ids[u, e, k] = i
+        h = np.zeros_like(chars)
+        for k in range(1, min(size, LONGEST) + 1):  # h: hashes of the k characters from each start
+            h = h[:, : size - k + 1] * HASH + chars[:, k - 1 :]
+            found = self.find(h)
+            ids[:, k:, k - 1] = found
+            w[:, k:, k - 1] = np.where(found >= 0, self.weight[found], 0)
+        one = w[:, 1:, 0]
+        one[ids[:, 1:, 0] < 0] = self.weight[-1] / 256  # a character as bytes is rarer than any piece
+        w[np.arange(size + 1) > n[:, None]] = 0
         forward = np.zeros((len(units), size + 1))
         forward[:, 0] = 1
         for end in range(1, size + 1):
@@ -83,6 +115,14 @@ class Pieces:
             forward[:, end] = total  # units are short: far from underflow
         return np.cumsum(w, axis=2), ids
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ids of the pieces with these hashes, -1 where there is none; two tables, the second for the
+        few pieces whose slot in the first is taken."""
+        one, two = places(h)
+        first, second = self.slots[0][one], self.slots[1][two]
+        out = np.where(self.hashes[first] == h, first, -1)
+        return np.where((second >= 0) & (self.hashes[second] == h), second, out)
+
 
 @cache
 def pieces(path: str) -> Pieces:
@@ -156,10 +196,14 @@ def sample(p: Pieces, docs: list[str], row_keys: list[int]) -> list[np.ndarray]:
     return [g[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def decode(p: Pieces, ids: Iterable[int]) -> str:
-    """The text again: bytes of byte pieces as they are, marks of other pieces as spaces, less the first."""
-    out = b"".join(bytes([int(p.piece[i][3:5], 16)]) if p.is_byte[i] else p.piece[i].replace(MARK, " ").encode("utf-8", "surrogatepass") for i in ids)
-    return out.decode("utf-8", "surrogatepass")[1:]
+def decode(p: Pieces, ids: np.ndarray) -> bytes:
+    """The text again, in UTF-8: bytes of byte pieces as they are, marks of other pieces as spaces,
+    less the first."""
+    ids = np.asarray(ids, np.int64)
+    size = p.size[ids]
+    ends = np.cumsum(size)
+    at = np.repeat(p.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+    return p.blob[at].tobytes()[1:]
 
 
 def _encode(path: str, digest: bool):
@@ -169,7 +213,7 @@ def _encode(path: str, digest: bool):
             docs = texts(b)
             got = sample(p, docs, [row_key(d) for d in b.column(0).to_pylist()])
             if digest:
-                back = [hashlib.sha256(decode(p, g.tolist()).encode("utf-8", "surrogatepass")).hexdigest() for g in got]
+                back = [hashlib.sha256(decode(p, g)).hexdigest() for g in got]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array([zlib.crc32(g.astype("<u4").tobytes()) for g in got], pa.int64()), pa.array(back)], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256"])
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tolist() for g in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])

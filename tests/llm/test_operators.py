@@ -321,7 +321,7 @@ def test_sampled_pieces(spark, rows):
     assert out == got(sample_pieces.digests(df.repartition(5)), "doc_id", "ids_crc32", "decoded_sha256")
     p = sample_pieces.pieces(bpe.tokenizer_path("piece_bpe_32k.model"))
     for t in ["▁a  b▁", " x", "\n\t", "日本語🙂", "", "a" * 100, "<0x41>", "\x00"]:
-        assert sample_pieces.decode(p, sample_pieces.sample(p, [t], [1])[0].tolist()) == t
+        assert sample_pieces.decode(p, sample_pieces.sample(p, [t], [1])[0]).decode() == t
     # the shares of all segmentations of one word
     unit = "▁ther"
     lattice = p.lattice(unit)
