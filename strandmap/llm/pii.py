@@ -16,8 +16,8 @@ seeds of a bootstrap that runs on Spark:
 Base spans always stay. Pattern sets are small rows; the matching pass gets them by broadcast only
 if they are at most BROADCAST rows, else contexts are matched by a join.
 
-Null texts count as empty and have no spans. Null doc_ids and repeated rows are treated row by row.
-Empty tables give no rows. Extra columns are ignored by ``find`` and kept by ``redact``.
+Null texts count as empty and have no spans. Rows are told apart by doc_id and text, so null doc_ids
+and doc_ids that recur with other texts keep their own spans. Empty tables give no rows. Extra columns are ignored by ``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, materialize, slices, texts, tune
@@ -104,8 +104,8 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cols[name].append([x[i] for x in own])
         n = [pa.array([c[i] for c in cols["counts"]], pa.int64()) for i in range(4)]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), *n, pa.array(cols["spans"]), pa.array(cols["kind"], pa.list_(pa.int32())), pa.array(cols["value"], pa.list_(pa.string())), pa.array(cols["left"], pa.list_(pa.list_(pa.string())))],
-            names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "kind", "value", "left"],
+            [b.column(0), *n, b.column(2), pa.array(cols["spans"]), pa.array(cols["kind"], pa.list_(pa.int32())), pa.array(cols["value"], pa.list_(pa.string())), pa.array(cols["left"], pa.list_(pa.list_(pa.string())))],
+            names=["doc_id", *(f"n_{k}" for k in KINDS), "h", "base", "kind", "value", "left"],
         )
 
 
@@ -172,18 +172,18 @@ def _graph(wanted: frozenset | None):
 
 
 def _places(wanted: frozenset | None):
-    """Unseen identifiers after the wanted contexts, apart from base spans: (doc_id, c, a, e)."""
+    """Unseen identifiers after the wanted contexts, apart from base spans: (doc_id, h, c, a, e)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out: list[tuple] = []
-            for d, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
-                found = [(d, c, a, e) for c, a, x in instances(t, wanted) if identifier(t[a : (e := trimmed(t, a, x))])]
+            for d, t, h in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist(), strict=True):
+                found = [(d, h, c, a, e) for c, a, x in instances(t, wanted) if identifier(t[a : (e := trimmed(t, a, x))])]
                 if found:
                     taken = [s for own in base(t) for s in own]
-                    out += [f for f in found if all(f[3] <= x or y <= f[2] for x, y in taken)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "c", "a", "e"])
+                    out += [f for f in found if all(f[4] <= x or y <= f[3] for x, y in taken)]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "h", "c", "a", "e"])
 
     return run
 
@@ -197,12 +197,16 @@ def patterns(seeds: DataFrame, support: int) -> DataFrame:
     return n.groupBy("c").agg(F.max(F.struct("n", (-F.col("kind")).alias("k"))).alias("m")).select("c", (-F.col("m.k")).cast("int").alias("kind"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+
+
 def bootstrap(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame | None:
-    """Unseen identifiers (doc_id, c, a, e, kind); None if no pattern is good enough.
+    """Unseen identifiers (doc_id, h, a, e, kind), h the text's hash; None if no pattern is good enough.
 
     A pattern's score is the sum of its distinct identifiers' scores over their number plus the
     number of plain words after it."""
-    docs = docs.select("doc_id", "text")
+    docs = keyed(docs)
 
     def bounded(df: DataFrame) -> frozenset | None:
         """The contexts, if they are few enough to be sent to every task; else all are matched and joined."""
@@ -222,11 +226,21 @@ def bootstrap(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, confi
     drop(graph)
     if good.isEmpty():
         return None
-    return docs.mapInArrow(_places(bounded(good)), "doc_id bigint, c string, a bigint, e bigint").join(good, "c").groupBy("doc_id", "a", "e").agg(F.min("kind").alias("kind"))
+    return docs.mapInArrow(_places(bounded(good)), "doc_id bigint, h bigint, c string, a bigint, e bigint").join(good, "c").groupBy("doc_id", "h", "a", "e").agg(F.min("kind").alias("kind"))
+
+
+def merged(own: list[tuple[int, int, int]], found: list[dict] | None) -> list[tuple[int, int, int]]:
+    """Base spans (kind, a, e) and found ones, sorted; of found ones that overlap the first, then longest, stays."""
+    rows, end = list(own), -1
+    for x in sorted(found or (), key=lambda x: (x["a"], -x["e"])):
+        if x["a"] >= end:
+            rows.append((x["kind"], x["a"], x["e"]))
+            end = x["e"]
+    return sorted(rows)
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest columns; found spans that overlap one another: the first, then longest, stays."""
+    """Digest columns of base and found spans."""
     for b in batches:
         r = b.to_pydict()
         sha, spans = [], []
@@ -234,48 +248,63 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sha.append(hashlib.sha256(own.encode()).hexdigest())
             if more:
                 rows = [(KINDS.index(k), int(a), int(e)) for k, a, e in (x.split(":") for x in own.split(",") if x)]
-                end = -1
-                for x in sorted(more, key=lambda x: (x["a"], -x["e"])):
-                    if x["a"] >= end:
-                        rows.append((x["kind"], x["a"], x["e"]))
-                        end = x["e"]
-                own = ",".join(f"{KINDS[k]}:{a}:{e}" for k, a, e in sorted(rows))
+                own = ",".join(f"{KINDS[k]}:{a}:{e}" for k, a, e in merged(rows, more))
             spans.append(own)
         yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sha), pa.array(spans)], names=[*b.schema.names[:5], "base_sha256", "spans"])
 
 
+COUNTS = ", ".join(f"n_{k} bigint" for k in KINDS)
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Base spans of every row and, for the bootstrap, their values and contexts, as a table."""
+    return materialize(keyed(docs).mapInArrow(_scan, f"doc_id bigint, {COUNTS}, h bigint, base string, kind array<int>, value array<string>, left array<array<string>>"), "spans")
+
+
+def with_found(rows: DataFrame, h: Column, more: DataFrame, name: str) -> DataFrame:
+    """rows and, as column name, the found spans of their doc_id and text; a null doc_id matches itself."""
+    found = more.groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "e", "kind")).alias(name)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), name)
+    return rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (h == found["_h"]), "left").select(*(rows[c] for c in rows.columns), found[name])
+
+
 def find(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all) for every row."""
     tune(docs.sparkSession)
-    counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    scanned = materialize(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id bigint, {counts}, base string, kind array<int>, value array<string>, left array<array<string>>"), "spans")
+    scanned = scan(docs)
     more = bootstrap(docs, scanned, **how)
     if more is None:
         rows = scanned.withColumn("found", F.expr("cast(null as array<struct<a: bigint, e: bigint, kind: int>>)"))
     else:
-        rows = scanned.join(more.groupBy("doc_id").agg(F.collect_list(F.struct("a", "e", "kind")).alias("found")), "doc_id", "left")
-    return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base", "found").mapInArrow(_merge, f"doc_id bigint, {counts}, base_sha256 string, spans string")
+        rows = with_found(scanned, scanned["h"], more, "found")
+    return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base", "found").mapInArrow(_merge, f"doc_id bigint, {COUNTS}, base_sha256 string, spans string")
 
 
-def _redact(text: str | None, spans: str | None) -> str | None:
-    if not text or not spans:
+def masked(text: str | None, found: list[dict] | None) -> str | None:
+    """The text with each base or found span replaced by its kind; of overlapping spans the first is."""
+    if not text:
+        return text
+    spans = merged([(k, a, e) for k, own in enumerate(base(text)) for a, e in own], found)
+    if not spans:
         return text
     out, done = [], 0
-    for a, e, k in sorted((int(a), int(e), k) for k, a, e in (x.split(":") for x in spans.split(","))):
+    for a, e, k in sorted((a, e, KINDS[k]) for k, a, e in spans):
         if a >= done:
             out += [text[done:a], f"<{k}>"]
         done = max(done, e)
     return "".join([*out, text[done:]])
 
 
-def _redacted():
+def _redacted(extra: bool):
+    """Batches of the documents' columns with new texts; extra: a last column has the found spans."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            i = b.schema.get_field_index("text")
-            new = [_redact(t, s) for t, s in zip(b.column(i).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            cols = list(b.columns[:-1])
+        for b in slices(batches):
+            cols, names = list(b.columns), list(b.schema.names)
+            found = cols.pop().to_pylist() if extra else [None] * b.num_rows
+            names = names[: len(cols)]
+            i = names.index("text")
+            new = [masked(t, f) for t, f in zip(cols[i].to_pylist(), found, strict=True)]
             cols[i] = pa.array(new, cols[i].type)
-            names = b.schema.names[:-1]
             if "n_chars" in names:
                 n = names.index("n_chars")
                 cols[n] = pa.array([None if t is None else len(t) for t in new], cols[n].type)
@@ -285,10 +314,11 @@ def _redacted():
 
 
 def redact(docs: DataFrame, **how) -> DataFrame:
-    """The documents with every span replaced by its kind in angle brackets; all columns kept.
+    """The documents with every span replaced by its kind in angle brackets; all columns and rows kept.
 
-    Only rows that have spans take part in the join with them."""
+    Base spans are found again in each row's own text; only spans that the bootstrap adds need a join."""
     tune(docs.sparkSession)
-    spans = find(docs, **how).where("spans <> ''").groupBy("doc_id").agg(F.first("spans").alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left").select(*(docs[c] for c in docs.columns), "_spans")
-    return joined.mapInArrow(_redacted(), docs.schema)
+    more = bootstrap(docs, scan(docs), **how)
+    if more is None:
+        return docs.mapInArrow(_redacted(False), docs.schema)
+    return with_found(docs, F.xxhash64(docs["text"]), more, "_found").mapInArrow(_redacted(True), docs.schema)

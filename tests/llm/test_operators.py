@@ -355,3 +355,12 @@ def test_shards(spark, rows):
     for d, b in size:
         assert not any((e, b >> (d - e)) in size for e in range(d))
     assert {r.page for r in out if r.doc_id == 900} == {0, 1, 2, 3, 4}
+
+
+def test_pii_null_and_repeated_ids(spark):
+    texts = [f"kontakt mail: user{i}@mail.example.com thanks" for i in range(8)]
+    texts += ["kontakt mail: user-at-7741-example now", "kontakt mail: other-at-99812-example", "ip 1.2.3.4 here", "nothing at all", None]
+    docs = docs_of(spark, [(None if i % 2 else 5, t, "en") for i, t in enumerate(texts)])
+    clean = sorted(str(r.text) for r in pii.redact(docs).collect())
+    assert clean == sorted(["kontakt mail: <email> thanks"] * 8 + ["kontakt mail: <email> now", "kontakt mail: <email>", "ip <ip> here", "nothing at all", "None"])
+    assert sorted(r.spans for r in pii.find(docs).collect()) == sorted([f"email:14:{14 + len(f'user{i}@mail.example.com')}" for i in range(8)] + ["email:14:34", "email:14:36", "ip:3:10", "", ""])
