@@ -6,17 +6,24 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only local sessions without one get a temporary folder."""
+    jsc = spark.sparkContext._jsc.sc()
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandmap-"))
+    return (found or jsc.getCheckpointDir().get()).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that the session names."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandmap-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

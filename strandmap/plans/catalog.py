@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, codec, dna
 from ..operators import graph, ordered, walks
+from ..sources import block_rows as rows_sink
+from ..sources import synthetic
 from . import tables as t
 from .tables import SEGMENTS, SEQ, STEPS, SUPPORT, W1, W2, W3, W4
 
@@ -414,3 +417,44 @@ def blocks_dfs(spark, d):
     out = walks.support(w).groupBy(F.col("from_node").alias("node_id")).agg(F.array_sort(F.collect_list("to_node")).alias("targets"))
     adjacency = walks.nodes(w).join(out, "node_id", "left").select(F.floor(F.col("node_id") / 500).alias("range_id"), "node_id", F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"))
     return graph.dfs_blocks(adjacency)
+
+
+@query(
+    f"""WITH {W4}, x AS (SELECT *, lead(node_id) OVER (PARTITION BY path_id ORDER BY step) AS t FROM w)
+    SELECT CAST(node_id // 5000 AS BIGINT) AS range_id, node_id, step - 1 AS ord, CAST(t IS NOT NULL AS INTEGER) AS edge_count, CAST(CAST(step = 1 AS INTEGER) + 2 * CAST(t IS NULL AS INTEGER) AS SMALLINT) AS flags,
+    coalesce(CAST(t AS VARCHAR), '') AS edges, CASE WHEN t IS NULL THEN '' ELSE '2' END AS orientations, substr(translate(md5(CAST(node_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 17) AS seq FROM x"""
+)
+def block_rows(spark, d):
+    """The chains of the order graph, written as block rows and read back."""
+    w = t.order_walks(spark, d)
+    e = walks.support(w)
+    out = e.groupBy(F.col("from_node").alias("node_id")).agg(F.array_sort(F.collect_list(bits.node_type(F.col("to_node"), F.lit(0)))).alias("targets"))
+    seq = F.substring(F.translate(F.md5(F.col("node_id").cast("string")), "0123456789abcdef", "ACGT" * 4), 1, 17)
+    rows = graph.unitigs(e, walks.nodes(w)).join(out, "node_id", "left").select(F.expr("node_id div 5000").alias("range_id"), "ord", "node_id", seq.alias("seq"), "targets", (F.col("ord") == 0).alias("is_start"), F.col("targets").isNull().alias("is_end"))
+    path = f"{graph.shared_dir(spark)}/strandmap/block-rows-{uuid.uuid4().hex}"
+    rows_sink.write(rows, path)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return rows_sink.read(spark, path).select("range_id", "node_id", "ord", "edge_count", "flags", joined("edges").alias("edges"), joined("edge_orientations").alias("orientations"), "seq")
+
+
+def drawn(what: str, key: str, n: int) -> str:
+    return f"CAST('0x' || substr(md5('42:{what}:' || {key}), 1, 12) AS BIGINT) % {n}"
+
+
+@query(
+    f"""WITH n AS (SELECT range AS id, range % 400 AS p FROM range(24000)), c AS (
+        SELECT id + 1 AS from_node, unnest(CASE WHEN p >= 150 AND p % 150 = 0 AND p + 2 < 400 THEN [2] WHEN (p + 1) % 150 = 0 AND p + 3 < 400 THEN [1, 2] WHEN p = 399 THEN [] ELSE [1] END) AS step FROM n),
+    y AS (SELECT DISTINCT {drawn("cycle", "range", 60)} AS c FROM range(30)),
+    o AS (SELECT range AS i, {drawn("from", "range", 60)} AS a, {drawn("to", "range", 60)} AS b FROM range(100))
+    SELECT from_node, from_node + step AS to_node FROM c UNION ALL SELECT (c + 1) * 400, c * 400 + 1 FROM y
+    UNION ALL SELECT DISTINCT a * 400 + 1 + {drawn("from node", "i", 400)}, b * 400 + 1 + {drawn("to node", "i", 400)} FROM o WHERE a <> b"""
+)
+def synthetic_edges(spark, d):
+    return synthetic.edges(spark, 60, 400)
+
+
+@query(
+    f"""SELECT range AS node_id, (range - 1) // 400 AS contig, substr(translate(md5('42:bases:' || range), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(5 + {drawn("length", "range", 5)} AS BIGINT)) AS seq FROM range(1, 24001)"""
+)
+def synthetic_sequences(spark, d):
+    return synthetic.sequences(spark, 60, 400)
