@@ -22,7 +22,7 @@ def deltas(node: Column, targets: Column) -> Column:
 
 
 def undelta(node: Column, steps: Column) -> Column:
-    """Running sums from the node's id, in one pass over the list."""
+    """Running sums from the node's id. The list is copied for each edge: slow for nodes of very many edges."""
     return F.aggregate(steps, F.struct(node.alias("at"), F.array().cast("array<bigint>").alias("out")), lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
 
 
