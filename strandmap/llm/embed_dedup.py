@@ -1,11 +1,15 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors: all links of each label, by exact comparison in cells.
 
-Each pass orders the vectors of a label lexicographically by the concatenated signs of BITS random
-projections of its own and compares each with its WINDOW followers, by cosine in double precision.
-Verified pairs of all passes are united into components. A window is bounded, so in dense groups it
-does not see all pairs: every component is then compared within itself exactly, in blocks of BLOCK
-members, so no link between members of a component is missed and n_links is exact there. What the
-passes can miss is a link between vectors that no chain of found pairs connects; tests measure it.
+A label's vectors of one length are dealt to cells by their nearest pivot (by the angle); the pivots are
+a sample of the vectors themselves, one in CELL by a hash. Two linked unit vectors are no further
+apart than EPS = sqrt(2 - 2 cosine), so a partner of a member of cell p that lies nearer to pivot q is
+within EPS of the plane between p and q. Each vector is therefore a guest of every lower cell whose
+plane is that near: each linked pair meets in just one cell, and none is missed. In a cell, members meet
+members and guests in blocks of about BLOCK elements, by a matrix product in double precision. A block
+pair gives each vector's number of links and a spanning star of each of its linked sets, not the pairs.
+
+The work is the square of a label's size, less what the planes cut off: much where vectors form
+separate groups, little in a label whose vectors all lie close together. Nothing is bounded or sampled.
 
 Equal vectors of a label are one class, compared once and counted by their number. Vectors that are
 null, empty, zero or hold null or non-finite components, and rows without a label, link with nothing.
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize, tune
 
-COSINE, PASSES, BITS, WINDOW, BLOCK = 0.98, 12, 62, 48, 256
+COSINE, CELL, BLOCK = 0.98, 4096, 1 << 16
+#: Far above the rounding of a product of unit vectors, and far below any distance that matters.
+SLACK = 1e-6
 
 
 def unit(rows: list, width: int) -> np.ndarray:
@@ -34,109 +40,120 @@ def unit(rows: list, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def keys(x: np.ndarray, which: int) -> np.ndarray:
-    """The signs of BITS random projections, first one highest."""
-    planes = np.random.Generator(np.random.PCG64([5, which, x.shape[1]])).normal(size=(x.shape[1], BITS))
-    return ((x @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).astype(np.int64)
-
+def cells(x: np.ndarray, pivots: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, member): the home cell of each row, and the lower cells that it is a guest of."""
+    eps = np.sqrt(max(2 - 2 * cosine, 0))
+    near = x @ pivots.T
+    home = near.argmax(1)
+    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+    own = near[np.arange(len(x)), home]
+    row, cell = np.nonzero((own[:, None] - near <= (eps + SLACK) * apart[home] + SLACK) & (np.arange(len(pivots)) <= home[:, None]))
+    return row, cell, cell == home[row]
 
-def by_width(vectors: list) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        out.setdefault(len(v), []).append(i)
-    return out
 
+def _deal(pivots: dict, cosine: float):
+    """Each vector in its home cell and as a guest in others."""
 
-def _project(passes: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            vectors = b.column(b.schema.get_field_index("embedding")).to_pylist()
-            for p in range(passes):
-                k = np.zeros(len(vectors), np.int64)
-                for width, own in by_width(vectors).items():
-                    k[own] = keys(unit([vectors[i] for i in own], width), p)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vectors), p, np.int32)), pa.array(k), *b.columns], names=["pass", "key", *b.schema.names])
+        for whole in batches:
+            for b in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                vectors = b.column(3).to_pylist()
+                own: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(b.column(0).to_pylist(), map(len, vectors), strict=True)):
+                    own.setdefault(key, []).append(i)
+                for (label, width), rows in own.items():
+                    take = np.array(rows)
+                    if (label, width) in pivots:
+                        row, cell, member = cells(unit([vectors[i] for i in rows], width), pivots[label, width], cosine)
+                    else:
+                        row, cell, member = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+                    for at in range(0, len(row), 4096):
+                        out = b.take(pa.array(take[row[at : at + 4096]]))
+                        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell[at : at + 4096].astype(np.int32)), pa.array(member[at : at + 4096])], names=[*b.schema.names, "cell", "member"])
 
     return run
 
 
-def _windows(window: int, cosine: float):
-    """Pairs of neighbours in a sorted run, whatever batches it comes in."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: list[tuple] = []
-        for b in batches:
-            rows = tail + list(zip(*(b.column(i).to_pylist() for i in range(5)), strict=True))  # pass, label, rep, embedding, key
-            fresh = len(tail)
-            a, c = [], []
-            start = 0
-            while start < len(rows):  # runs of one pass, label and width
-                end = start
-                while end < len(rows) and rows[end][:2] == rows[start][:2] and len(rows[end][3]) == len(rows[start][3]):
-                    end += 1
-                x = unit([r[3] for r in rows[start:end]], len(rows[start][3]))
-                ids = np.array([r[2] for r in rows[start:end]], np.int64)
-                for d in range(1, min(window, end - start - 1) + 1):
-                    hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= cosine)
-                    hit = hit[hit + d + start >= fresh]  # others were seen with the batch before
-                    a.append(ids[hit])
-                    c.append(ids[hit + d])
-                start = end
-            tail = rows[-window:]
-            x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, c))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return run
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index that each of n reaches by the links (a, b)."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
 
 
-def _within(cosine: float):
-    """Links of each member of one pair of blocks (i, j) of a component."""
+def _compare(cosine: float):
+    """A pair of blocks (left, right; right alone if they are one): links of each vector, and stars."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        links = np.zeros(len(pdf), np.int64)
-        for width, own in by_width(pdf["embedding"].tolist()).items():
-            rows = pdf.iloc[own]
-            x = unit(rows["embedding"].tolist(), width)
-            left = np.flatnonzero((rows["block"] == i).to_numpy())
-            right = np.flatnonzero((rows["block"] == j).to_numpy())
-            n = rows["n"].to_numpy()
-            for at in range(0, len(left), 1024):
-                l = left[at : at + 1024]
-                near = x[l] @ x[right].T >= cosine
-                near &= rows["rep"].to_numpy()[l][:, None] != rows["rep"].to_numpy()[right][None, :]
-                np.add.at(links, np.array(own)[l], near @ n[right])
-                if i != j:
-                    np.add.at(links, np.array(own)[right], n[l] @ near)
-        return pd.DataFrame({"rep": pdf["rep"], "links": links})
+        width = len(pdf["embedding"].iloc[0])
+        x, node, n = unit(pdf["embedding"].tolist(), width), pdf["node"].to_numpy(), pdf["n"].to_numpy()
+        left, right = np.flatnonzero(pdf["side"] == 0), np.flatnonzero(pdf["side"] == 1)
+        same = not len(left) and pdf["same"].iloc[0]
+        left = right if same else left
+        links, low = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
+        for at in range(0, len(left), 1024):
+            l = left[at : at + 1024]
+            near = x[l] @ x[right].T >= cosine
+            if same:
+                near[np.arange(len(l)), at + np.arange(len(l))] = False
+            links[l] += near @ n[right]
+            if not same:
+                links[right] += n[l] @ near
+            a, b = np.nonzero(near)
+            if len(a):
+                more = stars(len(pdf), l[a], right[b])
+                low = stars(len(pdf), np.concatenate([np.arange(len(pdf))] * 2), np.concatenate([low, more]))
+        hit = np.flatnonzero(links)
+        return pd.DataFrame({"node": node[hit], "links": links[hit], "low": node[low[hit]]})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def pivots_of(classes: DataFrame, cell: int) -> dict:
+    """Unit vectors by label and length: a sample of those with more than cell classes."""
+    sizes = classes.groupBy("label", F.size("embedding").alias("width")).agg(F.count("*").alias("m")).where(F.col("m") > cell)
+    some = classes.withColumn("width", F.size("embedding")).join(sizes, ["label", "width"]).where(F.pmod(F.xxhash64("embedding"), F.lit(cell)) == 0)
+    out: dict[tuple, list] = {}
+    for r in some.select("label", "width", "embedding").collect():
+        out.setdefault((r[0], r[1]), []).append(r[2])
+    return {k: unit(sorted(v), k[1]) for k, v in out.items()}
+
+
+def links_of(classes: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """(node, links, low) of classes (label, node, n, embedding): a row for each block pair in which a node
+    has links; low is a node that those links connect it with."""
+    schema = classes.schema.simpleString()[7:-1].replace(":", " ").replace("array ", "array")
+    dealt = materialize(classes.mapInArrow(_deal(pivots_of(classes, cell), cosine), f"{schema}, cell int, member boolean"), "cells").withColumn("width", F.size("embedding"))
+    place = ["label", "width", "cell"]
+    sizes = dealt.groupBy(*place).agg(F.coalesce(F.ceil(F.sum(F.when(F.col("member"), F.col("width"))) / block), F.lit(0)).cast("int").alias("m"), F.coalesce(F.ceil(F.sum(F.when(~F.col("member"), F.col("width"))) / block), F.lit(0)).cast("int").alias("g"))
+    rows = dealt.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("member"), F.col("m")).otherwise(F.col("g"))).cast("int"))
+    # a member's block meets the members' blocks 0 to m - 1 and the guests' blocks m to m + g - 1
+    rows = rows.where("m > 0").withColumn("at", F.when(F.col("member"), F.col("block")).otherwise(F.col("m") + F.col("block")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("m") + F.col("g")).otherwise(F.col("m")) - 1)))
+    rows = rows.select(*place, F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") >= F.col("other"), 1).otherwise(0).alias("side"), (F.col("at") == F.col("other")).alias("same"), "node", "n", "embedding")
+    return rows.groupBy(*place, "i", "j").applyInPandas(_compare(cosine), "node bigint, links bigint, low bigint")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    tune(spark)
+    tune(vectors.sparkSession)
     rows = vectors.select("vec_id", "label", "embedding")
     finite = F.expr("label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
     valid = F.coalesce(finite, F.lit(False))
     classes = rows.where(valid).withColumn("embedding", F.expr("transform(embedding, x -> x + 0)")).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes.where("rep is not null"), "classes")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    runs = classes.select("label", "rep", "embedding").mapInArrow(_project(passes), f"pass int, key bigint, {classes.select('label', 'rep', 'embedding').schema.simpleString()[7:-1].replace(':', ' ').replace('array ', 'array')}")
-    runs = materialize(runs, "projected").select("pass", "label", "rep", "embedding", "key")
-    width = F.size("embedding").alias("width")
-    runs = runs.repartitionByRange(shards, "pass", "label", width, "key", "rep").sortWithinPartitions("pass", "label", width, "key", "rep")
-    pairs = runs.mapInArrow(_windows(window, cosine), "a bigint, b bigint")
-    found = materialize(components(pairs), "components")
-    both = found.union(found.select("component", "component").distinct()).toDF("rep", "component")
-    sizes = both.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = both.join(sizes, "component").join(classes, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cells = members.select("component", "rep", "n", "embedding", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "n", "embedding", "block")
-    links = cells.groupBy("component", "i", "j").applyInPandas(_within(cosine), "rep bigint, links bigint").groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.join(both, "rep", "left").join(links, "rep", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    named = named.withColumnsRenamed({"label": "_label", "embedding": "_embedding"})
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = materialize(links_of(classes.select("label", "node", "n", "embedding"), cosine, cell, block), "links")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.select("node", "low"))
+    classes = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = classes.join(names, "component").join(links, "node", "left").select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     clean = rows.withColumn("_valid", valid).withColumn("_same", F.when(F.col("_valid"), F.expr("transform(embedding, x -> x + 0)")))
     out = clean.join(named, (clean["label"] == named["_label"]) & (clean["_same"] == named["_embedding"]), "left")
     component = F.coalesce("component_id", "vec_id")

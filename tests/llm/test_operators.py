@@ -364,3 +364,47 @@ def test_pii_null_and_repeated_ids(spark):
     clean = sorted(str(r.text) for r in pii.redact(docs).collect())
     assert clean == sorted(["kontakt mail: <email> thanks"] * 8 + ["kontakt mail: <email> now", "kontakt mail: <email>", "ip <ip> here", "nothing at all", "None"])
     assert sorted(r.spans for r in pii.find(docs).collect()) == sorted([f"email:14:{14 + len(f'user{i}@mail.example.com')}" for i in range(8)] + ["email:14:34", "email:14:36", "ip:3:10", "", ""])
+
+
+def test_embeddings_concentrated_label(spark):
+    """Isolated pairs in a label whose vectors lie close together, in several cells and blocks; null ids name no component but carry it."""
+    rng = np.random.default_rng(8)
+    centre = np.ones(16) / 4
+
+    def near(base, cosine):
+        side = rng.normal(size=base.shape)
+        side -= (side * base).sum(1, keepdims=True) * base
+        return cosine * base + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+
+    x = near(np.tile(centre, (3000, 1)), 0.9**0.5)
+    x = np.concatenate([x, near(x[:200], 0.983)])
+    a = np.eye(16)[0]
+    chain = [np.cos(t) * a + np.sin(t) * np.eye(16)[1] for t in (0, 0.15, 0.3)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(9000, chain[0].tolist(), 1), (None, chain[1].tolist(), 1), (9002, chain[2].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    near_ones = x @ x.T >= 0.98
+    np.fill_diagonal(near_ones, False)
+    want = near_ones.sum(1)
+    for how in ({}, {"cell": 300, "block": 16 * 100}):
+        out = {r.vec_id: r for r in embed_dedup.near_vectors(df, **how).collect()}
+        assert [out[i].n_links for i in range(len(x))] == want.tolist()
+        least = list(range(len(x)))
+        for _ in range(20):
+            least = [min(least[j] for j in (i, *np.flatnonzero(near_ones[i]))) for i in range(len(x))]
+        assert [out[i].component_id for i in range(len(x))] == least
+        assert [out[i].component_id for i in (9000, None, 9002)] == [9000] * 3 and out[None].n_links == 2
+
+
+def test_cells_meet_every_link():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 8))
+    x[500:1000] = x[:500] + 0.04 * rng.normal(size=(500, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    row, cell, member = embed_dedup.cells(x, x[::100], 0.98)
+    own, guests = {}, {}
+    for r, c, m in zip(row.tolist(), cell.tolist(), member.tolist()):
+        (own if m else guests).setdefault(r, set()).add(c)
+    assert len(row) < 8 * len(x)
+    for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1))):
+        assert len(own[i]) == len(own[j]) == 1
+        assert len(own[i] & own[j]) + len(own[i] & guests.get(j, set())) + len(own[j] & guests.get(i, set())) == 1
