@@ -26,7 +26,9 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ from .common import drop, materialize, slices, texts, tune
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, ROUNDS, BROADCAST = 5, 0.8, 3, 100_000
+#: Hashes of plain words that a task remembers, so as not to send them again.
+SENT = 300_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -144,12 +148,15 @@ def trimmed(text: str, a: int, e: int) -> int:
 
 
 def _graph(wanted: frozenset | None):
-    """Edges (c, token, seed, n): seeds and unseen identifiers by name, plain words as '' and their number."""
+    """Edges of contexts: (c, token, seed) of seeds and unseen identifiers by name; (ch, word) of plain words,
+    the hashes of context and word, so that each distinct word counts once and takes little room."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed: dict[str, int] = {}
+        sent: set[int] = set()  # what this task has sent already, bounded; a repeat does no harm
         for b in slices(batches):
             named: set[tuple[str, str, bool]] = set()
-            plain: dict[str, int] = {}
+            left, word = [], []
             for t in texts(b):
                 spans = sorted(s for own in base(t) for s in own)
                 inside, i = dict(spans), 0
@@ -163,10 +170,24 @@ def _graph(wanted: frozenset | None):
                     elif identifier(w := t[a : trimmed(t, a, e)]):
                         named.add((c, w, False))
                     else:
-                        plain[c] = plain.get(c, 0) + 1
-            rows = [(*x, 1) for x in named] + [(c, "", False, n) for c, n in plain.items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int64()), strict=True)], names=["c", "token", "seed", "n"])
+                        if (ch := hashed.get(c)) is None:
+                            ch = hashed[c] = xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), 42)
+                        h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), ch)
+                        if h not in sent:
+                            sent.add(h)
+                            left.append(ch)
+                            word.append(h)
+            if len(sent) > SENT:
+                sent.clear()
+            if len(hashed) > BROADCAST:
+                hashed.clear()
+            n, m = len(named), len(left)
+            c, token, seed = list(zip(*named, strict=True)) or [()] * 3
+            for cols in (
+                (pa.array(c, pa.string()), pa.array(token, pa.string()), pa.array(seed, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())),
+                (pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.bool_()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (left, word))),
+            ):
+                yield pa.RecordBatch.from_arrays(list(cols), names=["c", "token", "seed", "ch", "word"])
 
     return run
 
@@ -205,7 +226,7 @@ def bootstrap(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, confi
     """Unseen identifiers (doc_id, h, a, e, kind), h the text's hash; None if no pattern is good enough.
 
     A pattern's score is the sum of its distinct identifiers' scores over their number plus the
-    number of plain words after it."""
+    number of distinct plain words after it (by a 64-bit hash): copies of a passage do not change it."""
     docs = keyed(docs)
 
     def bounded(df: DataFrame) -> frozenset | None:
@@ -215,8 +236,11 @@ def bootstrap(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, confi
     kept = materialize(patterns(scanned, support), "patterns")
     if kept.isEmpty():
         return None
-    edges = docs.mapInArrow(_graph(bounded(kept)), "c string, token string, seed boolean, n bigint").groupBy("c", "token").agg(F.max("seed").alias("seed"), F.sum("n").alias("n"))
-    graph = materialize(edges.select("c", "token", F.col("seed").cast("double").alias("s"), F.when(F.col("token") == "", F.col("n")).otherwise(1).alias("n")).join(kept.select("c"), "c"), "graph")
+    edges = docs.mapInArrow(_graph(bounded(kept)), "c string, token string, seed boolean, ch bigint, word bigint").groupBy("c", "token", "ch", "word").agg(F.max("seed").alias("seed"))
+    edges = materialize(edges.groupBy("c", "token", "ch").agg(F.max("seed").cast("double").alias("s"), F.count("*").alias("n")), "edges")
+    plain = edges.where("c is null").select("ch", "n").join(kept.select(F.xxhash64("c").alias("ch"), "c"), "ch").select("c", F.lit("").alias("token"), F.lit(0.0).alias("s"), "n")
+    graph = materialize(edges.where("c is not null").select("c", "token", "s", "n").join(kept.select("c"), "c").unionByName(plain), "graph")
+    drop(edges)
     score = graph.groupBy("c").agg((F.sum("s") / F.sum("n")).alias("p"))
     for _ in range(rounds - 1):
         unseen = graph.where("token <> '' and s = 0").join(score, "c").groupBy("token").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("u"))

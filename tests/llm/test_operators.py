@@ -408,3 +408,15 @@ def test_cells_meet_every_link():
     for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1))):
         assert len(own[i]) == len(own[j]) == 1
         assert len(own[i] & own[j]) + len(own[i] & guests.get(j, set())) + len(own[j] & guests.get(i, set())) == 1
+
+
+def test_pii_copies_of_a_plain_passage(spark):
+    data = [(i, f"kontakt mail: user{i}@mail.example.com thanks", "en") for i in range(100)]
+    data += [(200, "kontakt mail: user-at-7741-example now", "en")] + [(300 + i, "kontakt mail: siehe unten", "en") for i in range(60)]
+    docs = docs_of(spark, data).repartition(6)
+    assert {r.doc_id: r.spans for r in pii.find(docs).collect()}[200] == "email:14:34"
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[200] == "kontakt mail: <email> now" and clean[300] == "kontakt mail: siehe unten"
+    # different plain words after it do count
+    words = [(400 + i, f"kontakt mail: siehe{chr(97 + i // 26)}{chr(97 + i % 26)} unten", "en") for i in range(60)]
+    assert {r.doc_id: r.spans for r in pii.find(docs_of(spark, data + words)).collect()}[200] == ""
