@@ -1,7 +1,11 @@
 """Sampled segmentations with a SentencePiece vocabulary, and lossless decoding.
 
 A text gets the model's word mark for each space and one in front, and is cut into units, each a
-run of marks with the characters after it (at most UNIT characters). Over a unit's lattice of
+run of marks with the characters after it; no piece of the model crosses into a run of marks. Units of
+more than UNIT characters are cut further, but only between two characters that no piece has side by
+side, so that no segmentation is lost. What is longer than LONG after that goes block by block: a
+forward pass keeps the sums of the last LONGEST places at each block's start, rescaled, and the
+backward pass makes each block's lattice again. Over a unit's lattice of
 vocabulary pieces, forward filtering sums the weights of all segmentations of every prefix;
 backward sampling then draws, from the end, each piece with its share of that sum. A piece weighs
 exp(-TEMPERATURE log(2 + rank)), rank its place in the vocabulary; a character that is no piece is
@@ -18,6 +22,7 @@ the same segmentation. Empty tables give no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -32,8 +37,9 @@ from .common import slices, texts, tune
 MARK = "▁"
 #: Stands for a literal mark inside a unit; not a character of any text (a lone surrogate).
 LITERAL = "\ud800"
-UNIT, TEMPERATURE = 32, 0.5
+UNIT, LONG, TEMPERATURE = 32, 4096, 0.5
 LONGEST = 16
+WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Multiplier of the hash of a string's code points, and bits of a table of hashes.
 HASH, MIX, SLOTS = np.uint64(0x9E3779B97F4A7C55), np.uint64(0xD6E8FEB86659FD93), 21
 
@@ -55,6 +61,8 @@ class Pieces:
         self.is_byte = [sp.is_byte(i) for i in range(n)]
         self.byte = {int(self.piece[i][3:5], 16): i for i in range(n) if self.is_byte[i]}
         self.ids = {p: i for i, p in enumerate(self.piece) if not self.is_byte[i] and not sp.is_control(i) and not sp.is_unknown(i) and len(p) <= LONGEST}
+        self.pairs = {x[i : i + 2] for x in self.ids for i in range(len(x) - 1)}
+        assert not any(MARK in x.lstrip(MARK) for x in self.ids)  # units() cuts before runs of marks
         # hashes of the pieces and the tables that find() uses
         self.hashes = np.zeros(n + 1, np.uint64)
         self.slots = np.full((2, 1 << SLOTS), -1, np.int32)
@@ -88,9 +96,11 @@ class Pieces:
             out.append(own)
         return out
 
-    def tables(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def tables(self, units: list[str], before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward filtering: cumulative shares (unit, end, piece length) of the pieces that end at
-        each place, and their ids. Substrings of all units are looked up together by their hashes."""
+        each place, their ids, and the sums of the last places (of units of one length). Substrings of
+        all units are looked up together by their hashes. before: such sums of the places in front of
+        the units, which begin with the LONGEST characters that led there."""
         size = max(map(len, units))
         n = np.fromiter(map(len, units), np.int64, len(units))
         chars = np.frombuffer("".join(u.ljust(size, "\0") for u in units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, size).astype(np.uint64) + np.uint64(1)
@@ -107,13 +117,20 @@ class Pieces:
         w[np.arange(size + 1) > n[:, None]] = 0
         forward = np.zeros((len(units), size + 1))
         forward[:, 0] = 1
-        for end in range(1, size + 1):
+        done = 0
+        if before is not None:
+            done = LONGEST
+            forward[:, : done + 1] = before
+        for end in range(done + 1, size + 1):
             m = min(end, LONGEST)
             w[:, end, :m] *= forward[:, end - m : end][:, ::-1]
             total = w[:, end].sum(1)
             w[:, end] /= np.where(total > 0, total, 1)[:, None]
-            forward[:, end] = total  # units are short: far from underflow
-        return np.cumsum(w, axis=2), ids
+            forward[:, end] = total
+            if end % LONGEST == 0:  # only ratios of the last sums matter; powers of two keep them exact
+                last = forward[:, end - LONGEST : end + 1]
+                last[:] = np.ldexp(last, -np.frexp(last.max(1))[1][:, None])
+        return np.cumsum(w, axis=2), ids, forward[:, -LONGEST - 1 :]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none; two tables, the second for the
@@ -129,13 +146,18 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def units(text: str) -> list[str]:
-    """Runs of marks with what follows, UNIT characters at most; their concatenation is the marked text."""
+def units(text: str, pairs: set[str]) -> list[str]:
+    """Runs of marks with what follows, long ones cut where none of the pairs stands; their
+    concatenation is the marked text."""
     if not text:
         return []
     out = []
-    for word in (MARK + text.replace(MARK, LITERAL).replace(" ", MARK)).replace(MARK, " " + MARK).split(" ")[1:]:
-        out += [word] if len(word) <= UNIT else [word[i : i + UNIT] for i in range(0, len(word), UNIT)]
+    for word in WORDS.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK)):
+        if len(word) <= UNIT:
+            out.append(word)
+            continue
+        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs), len(word)]
+        out += [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
     return out
 
 
@@ -153,31 +175,61 @@ def row_key(doc_id: int | None) -> int:
 
 def sample(p: Pieces, docs: list[str], row_keys: list[int]) -> list[np.ndarray]:
     """Piece ids of each text."""
-    split = [units(t) for t in docs]
+    split = [units(t, p.pairs) for t in docs]
     distinct = sorted({u for own in split for u in own}, key=len)
     if not distinct:
         return [np.zeros(0, np.int64) for _ in docs]
     number = {u: i for i, u in enumerate(distinct)}
     which = np.array([number[u] for own in split for u in own])
+    lengths = np.array([len(x) for x in distinct])
     counts = np.array([len(own) for own in split])
     seed = np.repeat(np.array(row_keys, np.uint64), counts) + np.concatenate([np.arange(c, dtype=np.uint64) for c in counts]) * np.uint64(0x9E3779B97F4A7C15)
     where, rank, got = [], [], []
     order = np.argsort(which, kind="stable")
-    for at in range(0, len(distinct), 4000):  # bounded tables, units of like length together
-        table, ids = p.tables(distinct[at : at + 4000])
-        occ = order[np.searchsorted(which[order], at) : np.searchsorted(which[order], at + 4000)]
-        u = which[occ] - at
-        pos = np.array([len(x) for x in distinct[at : at + 4000]])[u]
-        while len(occ):
+
+    def draw(table: np.ndarray, ids: np.ndarray, occ: np.ndarray, u: np.ndarray, pos: np.ndarray, first: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces from each place back to first or before; place base is the tables' 0. What is left."""
+        out, left = [occ[:0]], [pos[:0]]
+        while True:
+            live = pos > first
+            out.append(occ[~live])
+            left.append(pos[~live])
+            occ, u, pos = occ[live], u[live], pos[live]
+            if not len(occ):
+                return np.concatenate(out), np.concatenate(left)
             r = (mixed(mixed(seed[occ]) + pos.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            row = table[u, pos]
+            row = table[u, pos - base]
             k = np.minimum((row <= (r * row[:, -1])[:, None]).sum(1), LONGEST - 1)
             where.append(occ)
             rank.append(pos - k - 1)  # where the piece starts
-            got.append(ids[u, pos, k])
+            got.append(ids[u, pos - base, k])
             pos = pos - k - 1
-            live = pos > 0
-            occ, u, pos = occ[live], u[live], pos[live]
+
+    at = 0
+    while at < len(distinct):  # bounded tables, units of like length together
+        to = min(at + 4000, len(distinct))
+        while to - at > 1 and (to - at) * int(lengths[to - 1]) > 4000 * UNIT:
+            to = at + max(1, 4000 * UNIT // int(lengths[to - 1]))
+        occ = order[np.searchsorted(which[order], at) : np.searchsorted(which[order], to)]
+        u = which[occ] - at
+        pos = lengths[which[occ]]
+        if lengths[to - 1] <= LONG:
+            table, ids, _ = p.tables(distinct[at:to])
+            draw(table, ids, occ, u, pos, 0, 0)
+            at = to
+            continue
+        for i in range(at, to):  # block by block
+            own = u == i - at
+            o, q, unit = occ[own], pos[own], distinct[i]
+            starts = list(range(0, len(unit), LONG))
+            sums = [None]
+            for s in starts[:-1]:
+                sums.append(p.tables([unit[max(0, s - LONGEST) : s + LONG]], sums[-1])[2])
+            for s, before in zip(reversed(starts), reversed(sums), strict=True):
+                base = max(0, s - LONGEST)
+                table, ids, _ = p.tables([unit[base : s + LONG]], before)
+                o, q = draw(table, ids, o, np.zeros(len(o), np.int64), q, s, base)
+        at = to
     w, s, g = np.concatenate(where), np.concatenate(rank), np.concatenate(got).astype(np.int64)
     o = np.lexsort((s, w))
     w, s, g = w[o], s[o], g[o]

@@ -420,3 +420,39 @@ def test_pii_copies_of_a_plain_passage(spark):
     # different plain words after it do count
     words = [(400 + i, f"kontakt mail: siehe{chr(97 + i // 26)}{chr(97 + i % 26)} unten", "en") for i in range(60)]
     assert {r.doc_id: r.spans for r in pii.find(docs_of(spark, data + words)).collect()}[200] == ""
+
+
+@pytest.mark.parametrize("text, block", [("a b", 4096), ("a    b", 4096), ("thereandthere" * 3, 4096), ("thereandthere" * 6, 32)])
+def test_sampled_pieces_shares(monkeypatch, text, block):
+    """Shares of the pieces at every place equal those of forward and backward sums over the whole marked text."""
+    monkeypatch.setattr(sample_pieces, "LONG", block, raising=False)
+    p = sample_pieces.pieces(bpe.tokenizer_path("piece_bpe_32k.model"))
+    whole = sample_pieces.MARK + text.replace(" ", sample_pieces.MARK)
+    assert max(map(len, whole.split())) > 32 or " " in text
+    lattice, size = p.lattice(whole), len(whole)
+    weight = lambda i: p.weight[i] if i >= 0 else p.weight[-1] / 256
+    front, back = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+    for e in range(1, size + 1):
+        front[e] = sum(front[e - k] * weight(i) for k, i in lattice[e - 1])
+    for e in range(size, 0, -1):
+        for k, i in lattice[e - 1]:
+            back[e - k] += weight(i) * back[e]
+    n, seen = 6000, {}
+    for ids in sample_pieces.sample(p, [text] * n, [sample_pieces.row_key(i) for i in range(n)]):
+        at = 0
+        for i in ids.tolist():
+            seen[at, i] = seen.get((at, i), 0) + 1
+            at += len(p.piece[i])
+        assert at == size
+    for e in range(1, size + 1):
+        for k, i in lattice[e - 1]:
+            share = front[e - k] * weight(i) * back[e] / front[size]
+            assert i < 0 or abs(seen.get((e - k, i), 0) / n - share) < 0.03, (e, p.piece[i])
+
+
+def test_sampled_pieces_long_runs():
+    p = sample_pieces.pieces(bpe.tokenizer_path("piece_bpe_32k.model"))
+    texts = ["a" * 20000, " " * 9000 + "x" + " " * 40, "日本語の文章" * 900, "https://a.b/" + "q7Zx%+" * 800, "a▁" * 3000, "\0" * 5000]
+    for t, ids in zip(texts * 2, sample_pieces.sample(p, texts * 2, list(range(12)))):
+        assert sample_pieces.decode(p, ids).decode() == t
+    assert any(p.piece[i] == "▁" * 16 for i in sample_pieces.sample(p, [" " * 9000], [3])[0].tolist())
