@@ -70,6 +70,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_row_each(docs: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row of docs, with all columns, for each of keys (doc_id, h), h = xxhash64(text); rows has doc_id and
+    h of every row of docs. Only rows that recur with doc_id and text are grouped, pre-aggregated."""
+
+    def among(df: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("doc_id").alias("_id"), F.col("h").alias("_k"))
+        return df.join(some, df["doc_id"].eqNullSafe(some["_id"]) & (df["_h"] == some["_k"]), how)
+
+    stay = among(docs.withColumn("_h", F.xxhash64("text")), keys, "left_semi")
+    twice = materialize(rows.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h"), "repeated", 1)
+    if not twice.isEmpty():
+        stay = among(stay, twice, "left_anti").unionByName(among(stay, twice, "left_semi").dropDuplicates(["doc_id", "_h"]))
+    return stay.drop("_h")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES // 4) -> Iterator[pa.RecordBatch]:
     """Batches again, cut so that each holds about limit bytes of the column (one row at least)."""
     for b in batches:

@@ -9,8 +9,8 @@ If two different chunks ever share a name, the documents with such a chunk are c
 SHA-256 of their whole normalised text instead.
 
 Null texts count as empty; all empty or white-space-only texts are equal to each other. Null
-doc_ids lose ties. Repeated rows are one group; rows that share a doc_id stay or go together. Extra columns are ignored by
-``exact_groups``; ``exact_dedup`` keeps them.
+doc_ids lose ties. Repeated rows are one group; in ``exact_groups`` rows of a group that share the kept doc_id all count
+as kept, of which ``exact_dedup`` keeps one. Extra columns are ignored by ``exact_groups``; ``exact_dedup`` keeps them.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts, tune
+from .common import materialize, one_row_each, slices, texts, tune
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 AVERAGE_BITS, LEAST, MOST = 12, 1024, 65536
@@ -78,7 +78,7 @@ def _recipes(name: Callable[[bytes], bytes]) -> Callable:
                 rows["n_cp"].append(len(t))
                 rows["sha"].append(hashlib.sha256(data).hexdigest())
                 rows["recipe"].append(b"".join(map(name, chunks(data))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows["n_cp"], pa.int64()), pa.array(rows["sha"]), pa.array(rows["recipe"], pa.binary())], names=["doc_id", "n_cp", "sha", "recipe"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows["n_cp"], pa.int64()), pa.array(rows["sha"]), pa.array(rows["recipe"], pa.binary())], names=["doc_id", "h", "n_cp", "sha", "recipe"])
 
     return run
 
@@ -102,13 +102,13 @@ def _contents(name: Callable[[bytes], bytes]) -> Callable:
 
 
 def recipes(docs: DataFrame, name: Callable[[bytes], bytes] = digest) -> DataFrame:
-    """doc_id, n_cp, sha, recipe: equal recipes if and only if equal normalised texts.
+    """doc_id, h (hash of the text as it is), n_cp, sha, recipe: equal recipes if and only if equal normalised texts.
 
     name gives a chunk's identifier; tests pass a weak one to force collisions.
     """
     tune(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    out = materialize(docs.mapInArrow(_recipes(name), "doc_id bigint, n_cp bigint, sha string, recipe binary"), "recipes")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    out = materialize(docs.mapInArrow(_recipes(name), "doc_id bigint, h bigint, n_cp bigint, sha string, recipe binary"), "recipes")
     # verification: one content for each identifier
     distinct = docs.select("text").mapInArrow(_contents(name), "id binary, chunk binary").groupBy("id", "chunk").agg(F.lit(1).alias("one"))
     bad = materialize(distinct.groupBy("id").count().where("count > 1").select("id"), "ambiguous", 1)
@@ -118,7 +118,7 @@ def recipes(docs: DataFrame, name: Callable[[bytes], bytes] = digest) -> DataFra
     length = len(name(b""))
     parts = out.select("recipe").distinct().select("recipe", F.explode(F.expr(f"transform(sequence(1, greatest(1, length(recipe)), {length}), i -> substring(recipe, i, {length}))")).alias("id"))
     suspect = parts.join(bad, "id", "left_semi").select("recipe").distinct()
-    return out.join(suspect.withColumn("suspect", F.lit(True)), "recipe", "left").select("doc_id", "n_cp", "sha", F.when(F.col("suspect"), F.concat(F.lit(b"whole:"), F.unhex("sha"))).otherwise(F.col("recipe")).alias("recipe"))
+    return out.join(suspect.withColumn("suspect", F.lit(True)), "recipe", "left").select("doc_id", "h", "n_cp", "sha", F.when(F.col("suspect"), F.concat(F.lit(b"whole:"), F.unhex("sha"))).otherwise(F.col("recipe")).alias("recipe"))
 
 
 def exact_groups(docs: DataFrame, name: Callable[[bytes], bytes] = digest) -> DataFrame:
@@ -135,6 +135,7 @@ def exact_groups(docs: DataFrame, name: Callable[[bytes], bytes] = digest) -> Da
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    """The documents that stay, one row of each group, with all their columns."""
+    rows = recipes(docs)
+    best = rows.groupBy("recipe").agg(F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
+    return one_row_each(docs, rows, best.select("best.doc_id", "best.h"))

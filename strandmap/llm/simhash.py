@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, slices, texts, tune
+from .common import components, materialize, one_row_each, slices, texts, tune
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: The Golay code's generator polynomial x^11+x^9+x^7+x^6+x^5+x+1.
@@ -65,7 +65,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         fps = np.array([fingerprint(shingle_hashes(t)) for t in texts(b)], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
 
 def remainder(words: np.ndarray) -> np.ndarray:
@@ -157,17 +157,25 @@ def links(classes: DataFrame) -> DataFrame:
     return h.join(r, close).select(F.col("h.rep").alias("a"), F.col("r.rep").alias("b"))
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, h (hash of the text), fp, node (one for each group), component_id."""
+    tune(docs.sparkSession)
+    fps = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_fingerprints, "doc_id bigint, h bigint, fp bigint"), "fingerprints")
+    # classes are named by a number of their own, as all their doc_ids may be null
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    found = components(links(classes))
+    classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("node"))
+    names = classes.groupBy("node").agg(F.min("least").alias("component_id"))
+    return fps.join(classes.join(names, "node").select("fp", "node", "component_id"), "fp")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    tune(docs.sparkSession)
-    fps = materialize(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id bigint, fp bigint"), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    found = components(links(classes.where("rep is not null")))
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each group (its smallest doc_id), with all their columns."""
-    keep = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
+    """The documents that stay, one row of each group (its smallest doc_id; null if it has no other), with all their columns."""
+    rows = materialize(grouped(docs).select("doc_id", "h", "node"), "groups")
+    best = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
+    return one_row_each(docs, rows, best.select("best.doc_id", "best.h"))

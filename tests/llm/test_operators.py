@@ -456,3 +456,31 @@ def test_sampled_pieces_long_runs():
     for t, ids in zip(texts * 2, sample_pieces.sample(p, texts * 2, list(range(12)))):
         assert sample_pieces.decode(p, ids).decode() == t
     assert any(p.piece[i] == "▁" * 16 for i in sample_pieces.sample(p, [" " * 9000], [3])[0].tolist())
+
+
+def test_dedup_null_and_repeated_ids(spark):
+    data = [(5, "A text of some words"), (5, "B text of some words"), (3, "B text of some words"), (7, "C one"), (7, "C one"), (None, "D two"), (None, "D two"), (None, "E three"), (9, "E three"), (None, None), (None, "")]
+    docs = docs_of(spark, [(i, t, "en") for i, t in data]).repartition(3)
+    kept = got(exact_dedup.exact_dedup(docs), "doc_id", "text")
+    assert len(kept) == 6 and set(kept) - {(None, None), (None, "")} == {(5, "A text of some words"), (3, "B text of some words"), (7, "C one"), (None, "D two"), (9, "E three")}
+    fps = [slow_fingerprint(t or "") for _, t in data]
+    reach = list(range(len(data)))
+    for _ in data:
+        reach = [min(reach[j] for j in range(len(data)) if (fps[i] ^ fps[j]).bit_count() <= 2) for i in range(len(data))]
+    assert simhash.near_dedup(docs).count() == len(set(reach))
+
+
+def test_near_groups_null_id_links(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    seen, i = [], 0
+    while len(seen) < 3 and i < 4000:  # texts in a chain: neighbours within 2 bits, ends not
+        i += 1
+        chain = [" ".join(words), " ".join(words[:-1] + [f"x{i}"]), " ".join([f"y{i}", *words[1:-1], f"x{i}"])]
+        a, b, c = map(simhash.fingerprint, map(simhash.shingle_hashes, chain))
+        if 0 < (a ^ b).bit_count() <= 2 and 0 < (b ^ c).bit_count() <= 2 and (a ^ c).bit_count() > 2:
+            seen = chain
+    assert seen
+    docs = docs_of(spark, [(1, seen[0], "en"), (None, seen[1], "en"), (2, seen[2], "en")])
+    assert [r.component_id for r in simhash.near_groups(docs).collect()] == [1, 1, 1]
+    assert got(simhash.near_dedup(docs), "doc_id") == [(1,)]
