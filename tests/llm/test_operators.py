@@ -484,3 +484,19 @@ def test_near_groups_null_id_links(spark):
     docs = docs_of(spark, [(1, seen[0], "en"), (None, seen[1], "en"), (2, seen[2], "en")])
     assert [r.component_id for r in simhash.near_groups(docs).collect()] == [1, 1, 1]
     assert got(simhash.near_dedup(docs), "doc_id") == [(1,)]
+
+
+@pytest.mark.parametrize("shards", ["2", "64"])
+def test_embeddings_do_not_depend_on_partitions(spark, shards):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(30, 16))
+    rows = [(i, (base[i % 30] + 0.02 * rng.normal(size=16)).tolist(), 0) for i in range(60)]
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shards)
+    try:
+        out = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert [out[i] for i in range(60)] == ((x @ x.T >= 0.98).sum(1) - 1).tolist()
