@@ -8,6 +8,7 @@ the least weighted norm of what would stay free, then by age. Pieces come by fal
 
 Pieces, which are narrow rows, are dealt round into tasks of about GROUP pieces; each task packs
 its own bins, so no key can fill a task, memory is bounded and only about one bin a task stays open.
+A task that gets four times as many pieces as it was dealt packs what it has and goes on with new bins.
 Null texts are an end id alone; null doc_ids are carried along; repeated rows are packed each.
 Empty tables give no rows; extra columns are ignored.
 """
@@ -19,11 +20,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import encoder, tokenizer_path
-from .common import materialize, slices, texts, tune
+from .common import BATCH_BYTES, materialize, slices, tune
 
 CAPACITY, END = 2048, 0
 GROUP = 8192
@@ -81,19 +83,19 @@ PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint
 
 
 def _pieces(path: str, capacity: int, end: int):
-    tail = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in slices(batches):
-            out: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(texts(b)), strict=True):
-                ids += tail
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    out.append((doc, p, p * capacity, len(own) // 4, zlib.crc32(own)))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for b in slices(batches, limit=BATCH_BYTES):
+            ids, bounds = enc.flat(pc.fill_null(b.column(1), ""), end)
+            size = np.diff(bounds)
+            n = -(-size // capacity)
+            doc = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum(capacity, size[doc] - start)
+            at = bounds[doc] + start
+            crc = [zlib.crc32(ids[i:j]) for i, j in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 

@@ -1,7 +1,9 @@
 """Token ids as sorted-string-table shards.
 
-Documents are range-partitioned and sorted by doc_id; each task tokenises its run and streams it
-into one shard file. A shard is::
+Documents are range-partitioned and sorted by doc_id and their text's hash, which splits many rows of
+one doc_id or of none; each task tokenises its run and streams it into one shard file. There are as many
+shards as shuffle partitions, and more where a shard would have over SHARD_BYTES of text or SHARD_DOCS
+documents. A shard is::
 
     magic
     blocks    entries by key: shared prefix length, suffix length, suffix, number of ids, ids before
@@ -25,25 +27,28 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, tokenizer_path
-from .common import materialize, new_path, slices, texts, tune
+from .common import BATCH_BYTES, materialize, new_path, slices, tune
 
 MAGIC = b"STRNDTK1"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
 BLOCK, BITS_PER_KEY, HASHES = 64 << 10, 10, 7
 END = 2
-
+#: What a shard holds at most, but for one document, whatever the size of the table.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 1 << 20
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
@@ -77,10 +82,14 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def places(key: bytes, bits: int) -> list[int]:
+def hashes(key: bytes) -> tuple[int, int]:
     h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & (1 << 64) - 1, h >> 64 | 1
-    return [(a + i * b) % bits for i in range(HASHES)]
+    return h & (1 << 64) - 1, h >> 64 | 1
+
+
+def places(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of keys with these pairs of hashes: a row a key."""
+    return (a[:, None] + np.arange(HASHES, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
 
 
 class Writer:
@@ -90,7 +99,7 @@ class Writer:
         self.out, self.width, self.at = out, width, 0
         self.block, self.first, self.last = bytearray(), b"", b""
         self.index: list[tuple[bytes, int, int]] = []
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")
         self.docs = self.ids = 0
         self._put(MAGIC)
 
@@ -99,8 +108,10 @@ class Writer:
         self.at += len(data)
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
-        if self.docs and key < self.last and self.block:
+        if self.docs and key < self.last:
             raise ValueError("keys must not fall")
+        if self.width == 2 and len(ids) and ids.max() >> 16:
+            raise ValueError("an id does not fit in two bytes")
         shared = 0
         if self.block:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
@@ -109,7 +120,7 @@ class Writer:
             self.first = key
         self.block += varint(shared) + varint(len(key) - shared) + key[shared:] + varint(len(ids)) + varint(self.ids) + ids.astype(f"<u{self.width}").tobytes()
         if not self.docs or key != self.last:
-            self.keys.append(key)
+            self.hashes.extend(hashes(key))
         self.last = key
         self.docs += 1
         self.ids += len(ids)
@@ -127,10 +138,11 @@ class Writer:
         self._flush()
         index_at = self.at
         self._put(b"".join(varint(len(k)) + k + struct.pack("<QI", at, size) for k, at, size in self.index))
-        bloom_at, bits = self.at, max(64, BITS_PER_KEY * len(self.keys))
+        own = np.frombuffer(self.hashes, np.uint64).reshape(-1, 2)
+        bloom_at, bits = self.at, max(64, BITS_PER_KEY * len(own))
         bloom = np.zeros(-(-bits // 8) * 8, bool)
-        for at in range(0, len(self.keys), 4096):
-            bloom[[p for k in self.keys[at : at + 4096] for p in places(k, bits)]] = True
+        for at in range(0, len(own), 4096):
+            bloom[places(own[at : at + 4096, 0], own[at : at + 4096, 1], bits).ravel()] = True
         self._put(np.packbits(bloom, bitorder="little").tobytes())
         self._put(FOOTER.pack(index_at, bloom_at, bits, len(self.index), self.docs, self.ids, self.width, MAGIC))
 
@@ -151,6 +163,7 @@ class Reader:
             n, at = read_varint(raw, at)
             self.index.append((raw[at : at + n], *struct.unpack_from("<QI", raw, at + n)))
             at += n + 12
+        self.firsts = [k for k, _, _ in self.index]
         self.bloom = self._read(bloom_at, size - FOOTER.size - bloom_at)
 
     def _read(self, at: int, n: int) -> bytes:
@@ -180,9 +193,10 @@ class Reader:
     def lookup(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of all entries with this key."""
         key = key_of(doc_id)
-        if not self.index or any(not self.bloom[p >> 3] >> (p & 7) & 1 for p in places(key, self.bits)):
+        a, b = (np.array([x], np.uint64) for x in hashes(key))
+        if not self.index or any(not self.bloom[p >> 3] >> (p & 7) & 1 for p in places(a, b, self.bits)[0].tolist()):
             return []
-        i = max(0, bisect_right([k for k, _, _ in self.index], key) - 1)
+        i = max(0, bisect_right(self.firsts, key) - 1)
         while i and self.index[i][0] == key:  # equal keys may begin in the block before
             i -= 1
         out = []
@@ -193,19 +207,21 @@ class Reader:
         return out
 
 
-def _write(folder: str, path: str, end: int, width: int):
+def _write(folder: str, path: str, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, w = encoder(path), None
         shard = TaskContext.get().partitionId()
         file = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}.tok"
-        for b in slices(batches):
+        for b in slices(batches, limit=BATCH_BYTES):
             if w is None:
                 fs, p = filesystem(file)
                 fs.create_dir(p.rpartition("/")[0], recursive=True)
                 out = fs.open_output_stream(p)
-                w = Writer(out, width)
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(texts(b)), strict=True):
-                w.add(key_of(doc), np.append(np.frombuffer(ids, "<u4"), np.uint32(end)))
+                w = Writer(out, 2 if max(enc.vocabulary, end + 1) <= 1 << 16 else 4)
+            ids, bounds = enc.flat(pc.fill_null(b.column(1), ""), end)
+            bounds = bounds.tolist()
+            for doc, at, to in zip(b.column(0).to_pylist(), bounds, bounds[1:], strict=False):
+                w.add(key_of(doc), ids[at:to])
         if w:
             w.close()
             out.close()
@@ -214,13 +230,16 @@ def _write(folder: str, path: str, end: int, width: int):
     return run
 
 
-def write(docs: DataFrame, path: str | None = None, end: int = END, shards: int | None = None, vocabulary: int = 50257) -> DataFrame:
+def write(docs: DataFrame, path: str | None = None, end: int = END, shards: int | None = None) -> DataFrame:
     """The manifest of the shards written: shard, file, docs, ids."""
     spark = docs.sparkSession
     tune(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    how = _write(new_path(spark, "token-table"), path or tokenizer_path("byte_bpe_50k.json"), end, 2 if vocabulary <= 1 << 16 else 4)
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size[0] or 0) // SHARD_BYTES), -(-size[1] // SHARD_DOCS))
+    order = ("doc_id", F.xxhash64("text"))
+    runs = docs.select("doc_id", "text").repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    how = _write(new_path(spark, "token-table"), path or tokenizer_path("byte_bpe_50k.json"), end)
     return materialize(runs.mapInArrow(how, "shard int, file string, docs bigint, ids bigint"), "manifest")
 
 
@@ -241,7 +260,8 @@ def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read from the shards.
 
-    The driver sees one row a shard, to number the ids across shards."""
+    The driver sees one row a shard, to number the ids across shards; shards are SHARD_BYTES of text each
+    where there are more of them than shuffle partitions."""
     spark = manifest.sparkSession
     rows, base = [], 0
     for r in sorted(manifest.collect(), key=lambda r: r.shard):
