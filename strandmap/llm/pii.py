@@ -3,18 +3,24 @@
 Base spans (email, ip, card, phone) come from fixed patterns over each whole text. They are the
 seeds of a bootstrap that runs on Spark:
 
-1. Each seed's left context, its last one and two words in lower case without digits, becomes a
-   lexical pattern of its kind. Patterns with SUPPORT distinct seed values or more are kept.
-2. Every token that stands after a kept pattern anywhere in the corpus is an instance; pattern and
-   instance form a bipartite graph, counted over all documents.
-3. Scores are iterated: a pattern is as good as the mean score of its distinct instances; an
-   unseen instance that looks like an identifier (it has a digit and six characters or more) is
-   as good as one minus the product of (1 - score) of its patterns; seeds score 1, words 0.
-4. Patterns that end at CONFIDENCE or more mark their unseen identifiers as spans of their kind,
-   where those do not overlap a base span.
-
-Base spans always stay. Pattern sets are small rows; the matching pass gets them by broadcast only
-if they are at most BROADCAST rows, else contexts are matched by a join.
+1. One pass over the texts lists every seed and every other token that looks like an identifier (a digit
+   and six characters or more, apart from base spans), each with its contexts: the one and the two tokens
+   before it on its line, in lower case, where they have no digit. What follows works on this narrow table.
+2. A context is a pattern of a kind if SUPPORT distinct seed values of the kind or more stand after it.
+   Patterns and the distinct values after them form a bipartite graph, over all documents.
+3. Plain words after a pattern (tokens that are neither) count against it, each distinct one once. A pattern
+   has no part in the graph if they alone keep it below CONFIDENCE, whatever the scores.
+4. Scores are iterated: a pattern is as good as the mean score of its distinct values and plain words; an
+   unseen value is as good as one minus the product of (1 - score) of its patterns; seeds score 1, words 0.
+5. Unseen values after a pattern that ends at CONFIDENCE or more are accepted. They are seeds of the
+   next generation, whose patterns may be new ones; it ends when no value is new.
+6. The places of unseen values after accepted patterns become spans of the pattern's kind.
+
+Plain words are counted in two passes: over one in PART of the texts, by a hash, which proves most
+patterns of common words to have too many; then over all texts for those that are left. A task sends no
+more words of a pattern than are needed to rule it out. Both save work and change no result.
+
+Base spans always stay. Patterns go to the tasks in groups of BROADCAST at most, one pass each.
 
 Null texts count as empty and have no spans. Rows are told apart by doc_id and text, so null doc_ids
 and doc_ids that recur with other texts keep their own spans. Empty tables give no rows. Extra columns are ignored by ``find`` and kept by ``redact``.
@@ -35,9 +41,11 @@ from pyspark.sql import functions as F
 from .common import drop, materialize, slices, texts, tune
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, CONFIDENCE, ROUNDS, BROADCAST = 5, 0.8, 3, 100_000
+SUPPORT, CONFIDENCE, ROUNDS, BROADCAST, PART = 5, 0.8, 3, 100_000, 16
 #: Hashes of plain words that a task remembers, so as not to send them again.
 SENT = 300_000
+UNSEEN = -1
+TRAILING = ".,;:!?)\"'"
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -47,6 +55,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"\S+")
+NUMBERED = re.compile(r"[0-9]\S*")
+JOINTS = frozenset("().-+")
 
 
 def luhn(digits: str) -> bool:
@@ -86,171 +96,206 @@ def written(spans: list[list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, own in zip(KINDS, spans, strict=True) for a, b in own)
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The last two words and the last word before start, on its line, without digits."""
-    left = text[max(0, start - 200) : start]
-    line = left.rpartition("\n")
-    words = line[2].lower().split()
-    if not line[1] and start > 200:
-        words = words[1:]  # it may be cut
-    return [c for c in (" ".join(words[-2:]) if len(words) > 1 else "", words[-1] if words else "") if c and not DIGIT.search(c)]
+def identifier(token: str) -> bool:
+    return len(token) >= 6 and DIGIT.search(token) is not None
+
+
+def token_start(text: str, a: int) -> int:
+    while a and not text[a - 1].isspace():
+        a -= 1
+    return a
+
+
+def contexts(text: str, line: int, start: int) -> list[str]:
+    """The token and the two tokens before start, a token's first place, on the line that begins at line;
+    those without a digit."""
+    size, at, words = 64, start, []
+    while at > line and len(words) < 3:  # of three tokens the first may be cut
+        at = max(line, start - size)
+        words, size = text[at:start].split(), 4 * size
+    words = [w.lower() for w in words[-2:]]
+    found = [" ".join(words), words[-1]] if len(words) > 1 else words
+    return [c for c in found if not DIGIT.search(c)]
+
+
+def marks(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[int, int, int, list[str]]]:
+    """(kind, start, end, contexts) of all seeds and unseen identifiers that have a context, by start."""
+    own = [(a, e, k) for k, found in enumerate(spans) for a, e in found]
+    if own or DIGIT.search(text):
+        taken, reach, i = sorted(own), 0, 0
+        for m in NUMBERED.finditer(text):
+            a, e = token_start(text, m.start()), m.end()
+            while i < len(taken) and taken[i][0] < e:
+                reach = max(reach, taken[i][1])
+                i += 1
+            if reach <= a:
+                e = a + len(text[a:e].rstrip(TRAILING))
+                if identifier(text[a:e]):
+                    own.append((a, e, UNSEEN))
+    out, line, before = [], 0, 0
+    for a, e, k in sorted(own):
+        line = max(line, text.rfind("\n", before, a) + 1)
+        before = a
+        if left := contexts(text, line, max(line, token_start(text, a))):
+            out.append((k, a, e, left))
+    return out
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        cols: dict[str, list] = {k: [] for k in ("counts", "spans", "kind", "value", "left")}
+        cols: dict[str, list] = {k: [] for k in ("counts", "spans", "kind", "value", "a", "e", "left")}
         for t in texts(b):
             spans = base(t)
             cols["counts"].append([len(x) for x in spans])
             cols["spans"].append(written(spans))
-            own = [(k, t[a:e], contexts(t, a)) for k, s in enumerate(spans) for a, e in s]
-            for name, i in (("kind", 0), ("value", 1), ("left", 2)):
+            own = [(k, t[a:e], a, e, left) for k, a, e, left in marks(t, spans)]
+            for i, name in enumerate(("kind", "value", "a", "e", "left")):
                 cols[name].append([x[i] for x in own])
         n = [pa.array([c[i] for c in cols["counts"]], pa.int64()) for i in range(4)]
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), *n, b.column(2), pa.array(cols["spans"]), pa.array(cols["kind"], pa.list_(pa.int32())), pa.array(cols["value"], pa.list_(pa.string())), pa.array(cols["left"], pa.list_(pa.list_(pa.string())))],
-            names=["doc_id", *(f"n_{k}" for k in KINDS), "h", "base", "kind", "value", "left"],
+            [b.column(0), *n, b.column(2), pa.array(cols["spans"]), *(pa.array(cols[c], pa.list_(k)) for c, k in zip(("kind", "value", "a", "e", "left"), kinds, strict=True))],
+            names=["doc_id", *(f"n_{k}" for k in KINDS), "h", "base", "kind", "value", "a", "e", "left"],
         )
 
 
-def instances(text: str, wanted: frozenset | None) -> Iterator[tuple[str, int, int]]:
-    """(context, start, end) of each token that stands after a wanted context on its line; None: after any."""
-    pairs = None if wanted is None else {c.partition(" ")[2] for c in wanted if " " in c}
-    at = 0
-    for line in text.split("\n"):
-        low = line.lower()
-        if len(low) != len(line):
-            low = "".join(x if len(x := c.lower()) == 1 else c for c in line)
-        last = before = ""
-        for m in WORD.finditer(low):
-            if last:
-                if wanted is None:
-                    for c in (last, f"{before} {last}" if before else ""):
-                        if c and not DIGIT.search(c):
-                            yield c, at + m.start(), at + m.end()
-                else:
-                    if last in wanted:
-                        yield last, at + m.start(), at + m.end()
-                    if before and last in pairs and (c := f"{before} {last}") in wanted:
-                        yield c, at + m.start(), at + m.end()
-            before, last = last, m[0]
+def within(text: str) -> set[tuple[int, int]]:
+    """(line, token), both by number, of the tokens that overlap a base span."""
+    spans = sorted(s for own in base(text) for s in own)
+    out, at, i, reach = set(), 0, 0, 0
+    for n, line in enumerate(text.split("\n") if spans else ()):
+        for k, m in enumerate(WORD.finditer(line)):
+            while i < len(spans) and spans[i][0] < at + m.end():
+                reach = max(reach, spans[i][1])
+                i += 1
+            if reach > at + m.start():
+                out.add((n, k))
         at += len(line) + 1
+    return out
 
 
-def identifier(token: str) -> bool:
-    return len(token) >= 6 and DIGIT.search(token) is not None
-
-
-def trimmed(text: str, a: int, e: int) -> int:
-    while e > a and text[e - 1] in ".,;:!?)\"'":
-        e -= 1
-    return e
-
-
-def _graph(wanted: frozenset | None):
-    """Edges of contexts: (c, token, seed) of seeds and unseen identifiers by name; (ch, word) of plain words,
-    the hashes of context and word, so that each distinct word counts once and takes little room."""
+def plain_words(text: str, heads: dict[str, dict[str, str]]) -> Iterator[tuple[str, str]]:
+    """(context, word) of each plain word after a wanted context. heads: by a context's last token, by
+    the token before that or nothing, the context."""
+    inside = None
+    for n, line in enumerate(text.split("\n")):
+        before = last = ""
+        for k, word in enumerate(line.lower().split()):
+            if (hit := heads.get(last)) and not (DIGIT.search(word) and identifier(word.rstrip(TRAILING))):
+                found = [c for c in ((hit.get(before) if before else None), hit.get("")) if c]
+                if found and ("@" in word or DIGIT.search(word) or JOINTS.issuperset(word)):
+                    inside = within(text) if inside is None else inside
+                    found = found if (n, k) not in inside else []
+                word_ = word.rstrip(TRAILING)
+                for c in found:
+                    yield c, word_
+            before, last = last, word
+
+
+def _plain(wanted: dict[str, int]):
+    """(ch, word): hashes of wanted contexts and of the distinct plain words after them; a null word
+    says that there are more than the number wanted of the context."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed: dict[str, int] = {}
-        sent: set[int] = set()  # what this task has sent already, bounded; a repeat does no harm
+        heads: dict[str, dict[str, str]] = {}
+        for c in wanted:
+            first, _, last = c.rpartition(" ")
+            heads.setdefault(last, {})[first] = c
+        hashed = {c: xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), 42) for c in wanted}
+        words: dict[str, set[int]] = {}
+        over: list[int] = []
+
+        def flush() -> pa.RecordBatch:
+            left = [hashed[c] for c, own in words.items() for _ in own] + over
+            right = [w for own in words.values() for w in own]
+            words.clear()
+            null = np.arange(len(left)) >= len(right)
+            cols = [pa.array(np.array(left, np.uint64).view(np.int64)), pa.array(np.array(right + [0] * len(over), np.uint64).view(np.int64), mask=null)]
+            over.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["ch", "word"])
+
         for b in slices(batches):
-            named: set[tuple[str, str, bool]] = set()
-            left, word = [], []
             for t in texts(b):
-                spans = sorted(s for own in base(t) for s in own)
-                inside, i = dict(spans), 0
-                for c, a, e in instances(t, wanted):
-                    while i < len(spans) and spans[i][1] <= a:
-                        i += 1
-                    if a in inside:
-                        named.add((c, t[a : inside[a]], True))
-                    elif i < len(spans) and spans[i][0] < a:
-                        continue  # within a seed
-                    elif identifier(w := t[a : trimmed(t, a, e)]):
-                        named.add((c, w, False))
-                    else:
-                        if (ch := hashed.get(c)) is None:
-                            ch = hashed[c] = xxhash.xxh64_intdigest(c.encode("utf-8", "surrogatepass"), 42)
-                        h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), ch)
-                        if h not in sent:
-                            sent.add(h)
-                            left.append(ch)
-                            word.append(h)
-            if len(sent) > SENT:
-                sent.clear()
-            if len(hashed) > BROADCAST:
-                hashed.clear()
-            n, m = len(named), len(left)
-            c, token, seed = list(zip(*named, strict=True)) or [()] * 3
-            for cols in (
-                (pa.array(c, pa.string()), pa.array(token, pa.string()), pa.array(seed, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())),
-                (pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.bool_()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (left, word))),
-            ):
-                yield pa.RecordBatch.from_arrays(list(cols), names=["c", "token", "seed", "ch", "word"])
+                for c, w in plain_words(t, heads):
+                    own = words.setdefault(c, set())
+                    own.add(xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+                    if len(own) > wanted[c]:  # it has too many: no more of it
+                        first, _, last = c.rpartition(" ")
+                        del heads[last][first], words[c]
+                        over.append(hashed[c])
+            if sum(map(len, words.values())) > SENT:  # what comes again is sent again, which does no harm
+                yield flush()
+        yield flush()
 
     return run
 
 
-def _places(wanted: frozenset | None):
-    """Unseen identifiers after the wanted contexts, apart from base spans: (doc_id, h, c, a, e)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            out: list[tuple] = []
-            for d, t, h in zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist(), strict=True):
-                found = [(d, h, c, a, e) for c, a, x in instances(t, wanted) if identifier(t[a : (e := trimmed(t, a, x))])]
-                if found:
-                    taken = [s for own in base(t) for s in own]
-                    out += [f for f in found if all(f[4] <= x or y <= f[3] for x, y in taken)]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "h", "c", "a", "e"])
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
 
-    return run
 
+def counted(docs: DataFrame, new: DataFrame, confidence: float) -> DataFrame:
+    """(c, plain) of new contexts (c, ids): the distinct plain words after them, null if these rule them out."""
+    ceiling = (1 - confidence) / confidence
 
-def patterns(seeds: DataFrame, support: int) -> DataFrame:
-    """(k, kind): contexts with enough distinct seed values; of two kinds the one with more values.
+    def count(some: DataFrame, todo: DataFrame) -> DataFrame:
+        groups, out = -(-todo.count() // BROADCAST), None
+        for g in range(groups):  # a pass over the texts for about BROADCAST contexts
+            own = {r.c: int(r.ids * ceiling + 1e-9) for r in todo.where(F.pmod(F.xxhash64("c"), F.lit(groups)) == g).collect()}
+            got = some.select("text").mapInArrow(_plain(own), "ch bigint, word bigint").distinct().groupBy("ch").agg(F.count("word").alias("n"), F.count_if(F.col("word").isNull()).alias("over"))
+            out = materialize(got if out is None else out.union(got), "plain")
+        rows = todo.withColumn("ch", F.xxhash64("c"))
+        rows = rows.join(out, "ch", "left") if out is not None else rows.select("*", F.lit(0).alias("n"), F.lit(0).alias("over"))
+        n = F.coalesce("n", F.lit(0))
+        return rows.select("c", "ids", F.when((F.coalesce("over", F.lit(0)) == 0) & (n <= F.floor(F.col("ids") * ceiling + 1e-9)), n).alias("plain"))
 
-    seeds: kind, value, left. Distinct values are counted exactly, pre-aggregated by (context, value)."""
-    rows = seeds.select(F.explode(F.arrays_zip("kind", "value", "left")).alias("s")).select("s.kind", "s.value", F.explode("s.left").alias("c"))
-    n = rows.select("c", "kind", "value").distinct().groupBy("c", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    return n.groupBy("c").agg(F.max(F.struct("n", (-F.col("kind")).alias("k"))).alias("m")).select("c", (-F.col("m.k")).cast("int").alias("kind"))
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    part = materialize(count(docs.where(F.pmod("h", F.lit(PART)) == 0), new), "part")
+    left = part.where("plain is not null").select("c", "ids")
+    out = part.where("plain is null")
+    if not left.isEmpty():
+        out = out.union(count(docs, left))
+    return materialize(out.select("c", "plain"), "counted")
 
 
 def bootstrap(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame | None:
-    """Unseen identifiers (doc_id, h, a, e, kind), h the text's hash; None if no pattern is good enough.
-
-    A pattern's score is the sum of its distinct identifiers' scores over their number plus the
-    number of distinct plain words after it (by a 64-bit hash): copies of a passage do not change it."""
+    """Unseen identifiers (doc_id, h, a, e, kind), h the text's hash; None if no pattern is good enough."""
     docs = keyed(docs)
-
-    def bounded(df: DataFrame) -> frozenset | None:
-        """The contexts, if they are few enough to be sent to every task; else all are matched and joined."""
-        return frozenset(r[0] for r in df.select("c").collect()) if df.limit(BROADCAST + 1).count() <= BROADCAST else None
-
-    kept = materialize(patterns(scanned, support), "patterns")
-    if kept.isEmpty():
-        return None
-    edges = docs.mapInArrow(_graph(bounded(kept)), "c string, token string, seed boolean, ch bigint, word bigint").groupBy("c", "token", "ch", "word").agg(F.max("seed").alias("seed"))
-    edges = materialize(edges.groupBy("c", "token", "ch").agg(F.max("seed").cast("double").alias("s"), F.count("*").alias("n")), "edges")
-    plain = edges.where("c is null").select("ch", "n").join(kept.select(F.xxhash64("c").alias("ch"), "c"), "ch").select("c", F.lit("").alias("token"), F.lit(0.0).alias("s"), "n")
-    graph = materialize(edges.where("c is not null").select("c", "token", "s", "n").join(kept.select("c"), "c").unionByName(plain), "graph")
-    drop(edges)
-    score = graph.groupBy("c").agg((F.sum("s") / F.sum("n")).alias("p"))
-    for _ in range(rounds - 1):
-        unseen = graph.where("token <> '' and s = 0").join(score, "c").groupBy("token").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("u"))
-        score = graph.join(unseen, "token", "left").groupBy("c").agg((F.sum(F.greatest("s", F.when(F.col("token") == "", 0.0).otherwise(F.coalesce("u", F.lit(0.0))))) / F.sum("n")).alias("p"))
-        score = materialize(score, "scores")
-    good = materialize(score.where(F.col("p") >= confidence).select("c").join(kept, "c"), "good")
-    drop(graph)
-    if good.isEmpty():
+    rows = scanned.select("doc_id", "h", F.explode(F.arrays_zip("kind", "value", "a", "e", "left")).alias("m")).select("doc_id", "h", "m.kind", "m.value", "m.a", "m.e", F.explode("m.left").alias("c"))
+    pairs = materialize(rows.groupBy("c", "value").agg(F.max("kind").alias("kind")), "pairs")
+    totals = pairs.groupBy("c").agg(F.count("*").alias("ids"))
+    accepted, counts, good = None, None, None
+    while True:
+        known = pairs if accepted is None else pairs.join(accepted.withColumnRenamed("kind", "k"), "value", "left").select("c", "value", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("k", F.lit(UNSEEN))).alias("kind"))
+        n = known.where("kind >= 0").groupBy("c", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+        best = n.groupBy("c").agg(F.max(F.struct("n", (-F.col("kind")).alias("k"))).alias("m")).select("c", (-F.col("m.k")).cast("int").alias("pattern"))
+        kept = materialize(best.join(totals, "c"), "patterns")
+        new = kept if counts is None else kept.join(counts, "c", "left_anti")
+        if not new.isEmpty():
+            more = counted(docs, new.select("c", "ids"), confidence)
+            counts = more if counts is None else materialize(counts.union(more), "counts")
+        if counts is None:
+            return None
+        live = kept.join(counts.where("plain is not null"), "c")
+        graph = materialize(known.join(live, "c").withColumn("s", F.when(F.col("kind") >= 0, 1.0).otherwise(0.0)), "graph")
+        size = (F.first("ids") + F.first("plain")).alias("size")
+        score = graph.groupBy("c").agg((F.sum("s") / (F.first("ids") + F.first("plain"))).alias("p"))
+        for _ in range(rounds - 1):
+            unseen = graph.where("s = 0").join(score, "c").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))).alias("u"))
+            score = graph.join(unseen, "value", "left").groupBy("c").agg(F.sum(F.greatest("s", F.coalesce("u", F.lit(0.0)))).alias("s"), size).select("c", (F.col("s") / F.col("size")).alias("p"))
+            score = materialize(score, "scores")
+        drop(good)
+        good = materialize(score.where(F.col("p") >= confidence).join(kept, "c").select("c", "pattern"), "good")
+        found = graph.where("s = 0").join(good.select("c"), "c").groupBy("value").agg(F.min("pattern").alias("kind"))
+        found = materialize(found, "found")
+        drop(graph)
+        drop(kept)
+        if found.isEmpty():
+            break
+        accepted = found if accepted is None else materialize(accepted.union(found), "accepted")
+    drop(pairs)
+    if accepted is None:
         return None
-    return docs.mapInArrow(_places(bounded(good)), "doc_id bigint, h bigint, c string, a bigint, e bigint").join(good, "c").groupBy("doc_id", "h", "a", "e").agg(F.min("kind").alias("kind"))
+    return rows.where(F.col("kind") == UNSEEN).join(good, "c").groupBy("doc_id", "h", "a", "e").agg(F.min("pattern").alias("kind"))
 
 
 def merged(own: list[tuple[int, int, int]], found: list[dict] | None) -> list[tuple[int, int, int]]:
@@ -281,8 +326,8 @@ COUNTS = ", ".join(f"n_{k} bigint" for k in KINDS)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans of every row and, for the bootstrap, their values and contexts, as a table."""
-    return materialize(keyed(docs).mapInArrow(_scan, f"doc_id bigint, {COUNTS}, h bigint, base string, kind array<int>, value array<string>, left array<array<string>>"), "spans")
+    """Base spans of every row and, for the bootstrap, all seeds and unseen identifiers with their contexts, as a table."""
+    return materialize(keyed(docs).mapInArrow(_scan, f"doc_id bigint, {COUNTS}, h bigint, base string, kind array<int>, value array<string>, a array<bigint>, e array<bigint>, left array<array<string>>"), "spans")
 
 
 def with_found(rows: DataFrame, h: Column, more: DataFrame, name: str) -> DataFrame:

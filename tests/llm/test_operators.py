@@ -500,3 +500,96 @@ def test_embeddings_do_not_depend_on_partitions(spark, shards):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert [out[i] for i in range(60)] == ((x @ x.T >= 0.98).sum(1) - 1).tolist()
+
+
+def slow_bootstrap(texts, support=5, confidence=0.8, rounds=3):
+    """Spans of every text by the rules of the docstring, in plain loops over whole lists."""
+    seen, plain, unseen_at = [], set(), []  # (context, value, kind), (context, word), (text, start, end, context, value)
+    spans = [slow_spans(t) for t in texts]
+    for i, t in enumerate(texts):
+        at = 0
+        for line in t.split("\n"):
+            tokens = [(m.start() + at, m.end() + at, m[0].lower()) for m in re.finditer(r"\S+", line)]
+            for k, (a, e, w) in enumerate(tokens):
+                before = [x[2] for x in tokens[max(0, k - 2) : k]]
+                left = [c for c in ([" ".join(before), before[-1]] if len(before) == 2 else before) if not re.search("[0-9]", c)]
+                starts = [s for s in spans[i] if a <= s[1] < e]
+                seen += [(c, t[s[1] : s[2]], pii.KINDS.index(s[0])) for s in starts for c in left]
+                if any(s[1] < e and a < s[2] for s in spans[i]):
+                    continue
+                name = t[a:e].rstrip(".,;:!?)\"'")
+                if len(name) >= 6 and re.search("[0-9]", name):
+                    seen += [(c, name, -1) for c in left]
+                    unseen_at += [(i, a, a + len(name), c, name) for c in left]
+                else:
+                    plain |= {(c, w.rstrip(".,;:!?)\"'")) for c in left}
+            at += len(line) + 1
+    kind = {}
+    for c, v, k in seen:
+        kind[c, v] = max(k, kind.get((c, v), -1))
+    values, words = {}, {}
+    for c, v in kind:
+        values.setdefault(c, set()).add(v)
+    for c, w in plain:
+        words.setdefault(c, set()).add(w)
+    known = {}
+    while True:
+        of = lambda c, v: kind[c, v] if kind[c, v] >= 0 else known.get(v, -1)
+        pattern = {}
+        for c, own in values.items():
+            n = [sum(of(c, v) == k for v in own) for k in range(4)]
+            if max(n) >= support and len(words.get(c, ())) <= len(own) * (1 - confidence) / confidence + 1e-9:
+                pattern[c] = n.index(max(n))
+        score = {c: sum(of(c, v) >= 0 for v in values[c]) / (len(values[c]) + len(words.get(c, ()))) for c in pattern}
+        for _ in range(rounds - 1):
+            u = {}
+            for c in pattern:
+                for v in values[c]:
+                    if of(c, v) < 0:
+                        u[v] = u.get(v, 1) * (1 - min(score[c], 0.999999))
+            score = {c: sum(1 if of(c, v) >= 0 else 1 - u[v] for v in values[c]) / (len(values[c]) + len(words.get(c, ()))) for c in pattern}
+        good = {c: k for c, k in pattern.items() if score[c] >= confidence}
+        found = {}
+        for c, k in good.items():
+            for v in values[c]:
+                if of(c, v) < 0:
+                    found[v] = min(k, found.get(v, 9))
+        if not found:
+            break
+        known |= {v: min(k, known.get(v, 9)) for v, k in found.items()}
+    for i, a, e, c, _ in unseen_at:
+        if c in good:
+            spans[i].append((pii.KINDS[good[c]], a, e))
+    return [",".join(f"{k}:{a}:{e}" for k, a, e in sorted(set(own), key=lambda s: (pii.KINDS.index(s[0]), s[1]))) for own in spans]
+
+
+@pytest.fixture(scope="module")
+def planted():
+    rng = random.Random(12)
+    ids = [f"user{i}" for i in range(40)]
+    texts = [f"{rng.choice(['so', 'and', 'then'])} kontakt mail: {x}@mail.example.com thanks" for x in ids[:20]]
+    texts += [f"kontakt mail: member-{i}-x now" for i in range(12)]  # found by their context
+    texts += [f"the\nkonto inhaber member-{i}-x, or" for i in range(12)]  # these make a pattern of their own
+    texts += ["konto inhaber other-99-y.", "konto inhaber third-1 " + "z" * 300 + " ip 1.2.3.4", "konto inhaber unbekannt", "kontakt mail: siehe\nmail: -"]
+    texts += [f"host {i}.2.3.4 and the host 10.0.0.{i} and host name{i}" for i in range(30)]  # a bad pattern
+    words = ["the", "host", "kontakt", "mail:", "+1 (650) 555-1234", "(", "-", "x1", "a@b.cd", "konto", "inhaber", "member-3-x", "İx", "12", "\n", "serial-77123"]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    return texts
+
+
+def test_pii_against_brute_force(spark, planted):
+    want = slow_bootstrap(planted)
+    docs = docs_of(spark, [(i, t, "en") for i, t in enumerate(planted)]).repartition(5)
+    out = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert [out[i] for i in range(len(planted))] == want
+    base_only = [",".join(f"{k}:{a}:{e}" for k, a, e in slow_spans(t)) for t in planted]
+    added = [i for i, (x, y) in enumerate(zip(want, base_only)) if x != y]
+    assert {20, 31, 32, 44} <= set(added)  # both generations
+
+
+@pytest.mark.parametrize("name, value", [("BROADCAST", 2), ("PART", 1), ("PART", 1000), ("SENT", 1)])
+def test_pii_limits_change_nothing(spark, monkeypatch, planted, name, value):
+    monkeypatch.setattr(pii, name, value)
+    docs = docs_of(spark, [(i, t, "en") for i, t in enumerate(planted)]).repartition(3)
+    out = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert [out[i] for i in range(len(planted))] == slow_bootstrap(planted)
