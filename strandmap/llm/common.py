@@ -3,6 +3,8 @@ shared folder, bounded Arrow batches and connected components."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,9 +21,13 @@ BATCH_ROWS = 2000
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that reach Python workers: texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound the Arrow batches that reach Python workers: texts may be long. The settings must hold when
+    the lazy results run, so they stay; smaller ones of the session are kept."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,18 +46,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of this process that are not deleted yet.
+_tables: dict[str, SparkSession] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandmap/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one. It lasts as long as the driver's process, as lazy results
+    may read it; at the end it is deleted, if not before."""
+    path = f"{shared_dir(spark)}/strandmap/{name}-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(sweep)
+    _tables[path] = spark
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _tables.pop(path, None)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep() -> None:
+    """Delete the folders of new_path() that nothing dropped."""
+    for path, spark in list(_tables.items()):
+        with contextlib.suppress(Exception):  # the session may be gone
+            delete(spark, path)
 
 
-def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     This cuts the lineage, computes Python stages once and survives lost executors.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._strandmap_path = path
     return out
@@ -61,9 +90,7 @@ def drop(df: DataFrame | None) -> None:
     """Delete a table that materialize() wrote."""
     path = getattr(df, "_strandmap_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +106,7 @@ def one_row_each(docs: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame
         return df.join(some, df["doc_id"].eqNullSafe(some["_id"]) & (df["_h"] == some["_k"]), how)
 
     stay = among(docs.withColumn("_h", F.xxhash64("text")), keys, "left_semi")
-    twice = materialize(rows.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h"), "repeated", 1)
+    twice = materialize(rows.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h"), "repeated")
     if not twice.isEmpty():
         stay = among(stay, twice, "left_anti").unionByName(among(stay, twice, "left_semi").dropDuplicates(["doc_id", "_h"]))
     return stay.drop("_h")

@@ -111,7 +111,7 @@ def recipes(docs: DataFrame, name: Callable[[bytes], bytes] = digest) -> DataFra
     out = materialize(docs.mapInArrow(_recipes(name), "doc_id bigint, h bigint, n_cp bigint, sha string, recipe binary"), "recipes")
     # verification: one content for each identifier
     distinct = docs.select("text").mapInArrow(_contents(name), "id binary, chunk binary").groupBy("id", "chunk").agg(F.lit(1).alias("one"))
-    bad = materialize(distinct.groupBy("id").count().where("count > 1").select("id"), "ambiguous", 1)
+    bad = materialize(distinct.groupBy("id").count().where("count > 1").select("id"), "ambiguous")
     if bad.isEmpty():
         return out
     # an ambiguous name makes every recipe suspect that it is part of: those compare by their whole text

@@ -4,8 +4,9 @@ A text's UTF-8 bytes are read in windows of WINDOW bytes, each from a zero state
 backwards. Every position gets a softmax over the learned languages from both hidden states;
 a document's probabilities are the mean over all its positions. The network is trained here in
 numpy by backpropagation through time (Adam), on a bounded sample: at most SAMPLE_DOCS rows a
-language and at most MAX_LANGS languages' rows, from rows whose crc32(doc_id) mod 4 is not 2.
-Prediction reads the text only.
+language, of the MAX_LANGS languages with the most rows (both are parameters of ``sample``; languages
+beyond them are not learned), a piece of SAMPLE_BYTES characters of each, from rows whose crc32(doc_id) mod 4
+is not 2. Prediction reads the whole text and nothing else.
 
 Null texts and texts without a letter get ``und`` and score 0. Null doc_ids are predicted like
 others and never trained on. Empty tables give no rows; with nothing to learn from, every
@@ -15,12 +16,12 @@ alike; extra columns are ignored by ``predict`` and kept by ``identify``.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +29,12 @@ from .common import slices, texts, tune
 
 #: Bytes a window, hidden units a direction, windows in lockstep.
 WINDOW, HIDDEN, LOCKSTEP = 128, 8, 2048
-#: The bounded sample that training sees: rows a language, bytes a row.
-SAMPLE_DOCS, SAMPLE_BYTES = 600, 256
+#: The bounded sample that training sees: rows a language, bytes a row, languages.
+SAMPLE_DOCS, SAMPLE_BYTES, MAX_LANGS = 600, 256, 200
 #: Training: bytes a window, windows a step, steps, Adam's step size.
 TRAIN_WINDOW, TRAIN_BATCH, TRAIN_STEPS, RATE = 64, 192, 220, 0.02
-LETTER = re.compile(r"[^\W\d_]")
+#: Numbers that are no digits, such as fractions, are no letters either.
+LETTER = regex.compile(r"\p{L}")
 
 
 def soft(x: np.ndarray) -> np.ndarray:
@@ -215,7 +217,7 @@ def _predict(net: ByteGru | None):
     return run
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, rows: int = SAMPLE_DOCS, languages: int = MAX_LANGS) -> list[tuple[str, str]]:
     """At most rows labelled texts (pieces of at most SAMPLE_BYTES characters) of each language.
 
     Counts come from narrow columns; then a hash threshold for each language takes about twice
@@ -224,7 +226,7 @@ def sample(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
     fit = docs.where("lang is not null and text is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     h = F.xxhash64("doc_id", F.lit(4))
     share = (h.bitwiseAND(0xFFFFFF)) / F.lit(float(0x1000000))
-    counts = {r[0]: r[1] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
+    counts = {r[0]: r[1] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return []
     limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(2.0 * rows / n))])

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embed_dedup, exact_dedup, lang_id, packing, pii, sample_pieces, sharding, simhash, token_table
-from .common import table
+from . import chat_format, embed_dedup, exact_dedup, lang_id, oracles, packing, pii, sample_pieces, sharding, simhash, token_table
+from .common import new_path, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,9 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    path = new_path(spark, "shards")
+    sharding.write(table(spark, sf_dir, "documents"), path)
+    return sharding.read(spark, path)
 
 
 def op7_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,18 +68,9 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
     """,
-    "op6_extendible_shards": f"""
-        WITH r AS (
-            SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
-                CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
-            FROM documents
-        ), d AS (
-            SELECT r.*, CAST(depth AS INTEGER) AS depth, h >> (60 - depth) AS bucket FROM r, range(0, 61) t(depth)
-        ), s AS (
-            SELECT *, sum(n_bytes) OVER (PARTITION BY depth, bucket) AS shard_bytes FROM d
-        ), f AS (
-            SELECT *, row_number() OVER (PARTITION BY doc_id, h ORDER BY depth) AS k FROM s WHERE shard_bytes <= {sharding.LIMIT} OR depth = 60
-        )
-        SELECT doc_id, n_bytes, depth, bucket, CAST(0 AS BIGINT) AS page, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM f WHERE k = 1
-    """,
+    "op1_pii": oracles.PII,
+    "op5_embedding_dedup": oracles.EMBEDDINGS,
+    "op6_extendible_shards": oracles.SHARDS,
+    "op8_simhash": oracles.SIMHASH,
+    "op9_chat_format": oracles.CHAT,
 }

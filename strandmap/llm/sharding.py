@@ -6,17 +6,21 @@ fits. Splits are decided on sizes summed by hash prefix, STEP bits at a time; on
 buckets that are still too large after that are summed anew on STEP more bits, up to 60.
 
 A document longer than the limit has a shard to itself. Rows that are equal in doc_id and text have one
-hash, which no bit splits: such a bucket is cut into pages of about the limit by a running sum. Null
-texts have no bytes; null doc_ids hash like a value. Empty tables give no rows; ``assign`` ignores
-extra columns.
+hash, which no bit splits: such a bucket is cut into pages within the limit, by the rows' numbers within
+their partition of the table and a running count over partitions, so that no task holds them all.
+
+``write`` carries each row to its shard's folder with all its columns (none may be named like SHARD); rows are never
+joined by doc_id, so null and repeated ids do no harm. The table must give the same partitions when it is read
+again. ``read`` tells rows and shards from the files. Null texts have no bytes; null doc_ids hash like a value.
+Empty tables give no rows; ``assign`` ignores extra columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 LIMIT, STEP, DEEPEST = 1 << 20, 12, 60
 
@@ -51,26 +55,61 @@ def directory(sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
     return found
 
 
+def place(rows: DataFrame, shards: DataFrame, limit: int) -> DataFrame:
+    """rows (with _h and _bytes) and their _depth, _bucket, _page and _shard_bytes."""
+    names = rows.columns
+    found = shards.agg(F.collect_set("depth"), F.count_if((F.col("depth") == DEEPEST) & (F.col("shard_bytes") > limit))).first()
+    shards = shards.select(F.col("depth").alias("_depth"), F.col("bucket").alias("_bucket"), F.col("shard_bytes").alias("_shard_bytes"))
+    # a hash belongs to the one depth at which its prefix is a shard; there are 61 depths at most
+    choices = F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("_h", DEEPEST - d).alias("bucket")) for d in sorted(found[0]) or [0]])
+    hit = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.explode(choices)).withColumn("_depth", F.col("_at.depth")).withColumn("_bucket", F.col("_at.bucket")).drop("_at")
+    hit = hit.join(shards, ["_depth", "_bucket"])
+    none = F.lit(0).cast("bigint")
+    out = [*names, "_depth", "_bucket", "_page", "_shard_bytes"]
+    if not found[1]:
+        return hit.withColumn("_page", none).select(*out)
+    # pages only in buckets that no bit could split; rows of a bucket have one hash
+    whole = (F.col("_depth") < DEEPEST) | (F.col("_shard_bytes") <= limit)
+    deep = hit.where(~whole)
+    counts = deep.groupBy("_h", "_part").agg(F.count("*").alias("_n"), F.max("_bytes").alias("_most"))
+    before = Window.partitionBy("_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.select("_h", "_part", F.coalesce(F.sum("_n").over(before), none).alias("_before"), F.max("_most").over(Window.partitionBy("_h")).alias("_most")), "pages")
+    number = F.row_number().over(Window.partitionBy("_h", "_part").orderBy("doc_id")) - 1
+    paged = deep.withColumn("_row", number).join(counts, ["_h", "_part"]).withColumn("_page", F.floor((F.col("_before") + F.col("_row")) / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("_most")))).cast("bigint"))
+    return hit.where(whole).withColumn("_page", none).select(*out).unionByName(paged.select(*out))
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_h", hash_of()).withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
+
+
+RESULT = ("depth", "bucket", "page", "shard_bytes")
+
+
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, depth, bucket (the first depth bits of the hash),
     page, shard_bytes (bytes of the bucket)."""
-    rows = materialize(docs.select("doc_id", hash_of().alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes")), "hashes")
-    shards = materialize(directory(rows, limit), "shards")
-    depths = [r[0] for r in shards.select("depth").distinct().orderBy("depth").collect()]  # 61 at most
-    # a hash belongs to the one depth at which its prefix is a shard
-    choices = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("h", DEEPEST - d).alias("bucket")) for d in depths])) if depths else None
-    if choices is None:
-        return rows.select("doc_id", F.col("bytes").alias("n_bytes"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("page"), F.lit(0).cast("bigint").alias("shard_bytes"))
-    hit = rows.select("doc_id", "h", "bytes", choices.alias("c")).select("doc_id", "h", "bytes", "c.*").join(shards, ["depth", "bucket"])
-    # pages only in buckets that no bit could split
-    deep = hit.where((F.col("depth") == DEEPEST) & (F.col("shard_bytes") > limit))
-    run = Window.partitionBy("bucket").orderBy("doc_id", "h").rowsBetween(Window.unboundedPreceding, -1)
-    paged = deep.withColumn("page", F.floor(F.coalesce(F.sum("bytes").over(run), F.lit(0)) / limit).cast("bigint"))
-    out = hit.where((F.col("depth") < DEEPEST) | (F.col("shard_bytes") <= limit)).withColumn("page", F.lit(0).cast("bigint")).unionByName(paged)
-    return out.select("doc_id", F.col("bytes").alias("n_bytes"), "depth", "bucket", "page", "shard_bytes")
+    rows = materialize(hashed(docs.select("doc_id", "text")).drop("text"), "hashes")
+    shards = materialize(directory(rows.select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes")), limit), "shards")
+    return place(rows, shards, limit).select("doc_id", F.col("_bytes").alias("n_bytes"), *(F.col(f"_{c}").alias(c) for c in RESULT))
+
+
+SHARD = "_strandmap_shard"
 
 
 def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """The documents as one folder per shard; all columns kept. doc_id must be unique."""
-    where = assign(docs, limit).select(F.col("doc_id").alias("_id"), F.concat_ws("-", "depth", "bucket", "page").alias("shard"))
-    docs.join(where, docs["doc_id"].eqNullSafe(where["_id"])).drop("_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """The documents as Parquet, one folder per shard, named by depth, bucket and page; all rows and columns kept."""
+    sizes = materialize(hashed(docs.select("doc_id", "text")).select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes")), "hashes")
+    shards = materialize(directory(sizes, limit), "shards")
+    drop(sizes)
+    name = F.concat_ws("-", "_depth", "_bucket", "_page").alias(SHARD)
+    place(hashed(docs), shards, limit).select(*docs.columns, name).repartition(SHARD).write.partitionBy(SHARD).option("compression", "zstd").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, n_bytes, depth, bucket, page, shard_bytes of all documents, from the shards' files."""
+    files = spark.read.schema(f"doc_id bigint, text string, {SHARD} string").parquet(path)
+    at = F.split(SHARD, "-")
+    rows = files.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), at[0].cast("int").alias("depth"), at[1].cast("bigint").alias("bucket"), at[2].cast("bigint").alias("page"))
+    rows = materialize(rows, "shard-rows")
+    return rows.join(rows.groupBy("depth", "bucket").agg(F.sum("n_bytes").alias("shard_bytes")), ["depth", "bucket"]).select("doc_id", "n_bytes", *RESULT)

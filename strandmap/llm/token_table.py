@@ -230,8 +230,9 @@ def _write(folder: str, path: str, end: int):
     return run
 
 
-def write(docs: DataFrame, path: str | None = None, end: int = END, shards: int | None = None) -> DataFrame:
-    """The manifest of the shards written: shard, file, docs, ids."""
+def write(docs: DataFrame, path: str | None = None, end: int = END, shards: int | None = None, folder: str | None = None) -> DataFrame:
+    """The manifest of the shards written: shard, file, docs, ids. path: the tokenizer's file. Shards that are
+    to last need a folder of their own, which all executors share; else they go at the end of the process."""
     spark = docs.sparkSession
     tune(spark)
     if not shards:
@@ -239,7 +240,7 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, shards: int
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size[0] or 0) // SHARD_BYTES), -(-size[1] // SHARD_DOCS))
     order = ("doc_id", F.xxhash64("text"))
     runs = docs.select("doc_id", "text").repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    how = _write(new_path(spark, "token-table"), path or tokenizer_path("byte_bpe_50k.json"), end)
+    how = _write(folder or new_path(spark, "token-table"), path or tokenizer_path("byte_bpe_50k.json"), end)
     return materialize(runs.mapInArrow(how, "shard int, file string, docs bigint, ids bigint"), "manifest")
 
 

@@ -593,3 +593,126 @@ def test_pii_limits_change_nothing(spark, monkeypatch, planted, name, value):
     docs = docs_of(spark, [(i, t, "en") for i, t in enumerate(planted)]).repartition(3)
     out = {r.doc_id: r.spans for r in pii.find(docs).collect()}
     assert [out[i] for i in range(len(planted))] == slow_bootstrap(planted)
+
+
+def test_shards_written_and_read(spark, rows, tmp_path):
+    limit = 4000
+    data = [*rows, *[(900, "same text" * 100, "en")] * 20, *[(901, text, "en") for text in ("a", "b", "a", None)]]
+    docs = docs_of(spark, data).repartition(4).withColumn("depth", F.lit("mine"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    sharding.write(docs, str(tmp_path / "out"), limit)
+    files = spark.read.parquet(str(tmp_path / "out"))
+    assert got(files, "doc_id", "text", "lang", "depth") == sorted(((i, t, lang, "mine") for i, t, lang in data), key=str)
+    cols = ("doc_id", "n_bytes", "depth", "bucket", "shard_bytes")
+    back, plan = sharding.read(spark, str(tmp_path / "out")), sharding.assign(docs, limit)
+    assert got(back, *cols) == got(plan, *cols)
+    size = {}
+    for r in back.collect():
+        size.setdefault((r.depth, r.bucket, r.page), []).append(r.n_bytes)
+    assert all(sum(v) <= limit or len(v) == 1 for v in size.values())
+    sharding.write(docs_of(spark, []), str(tmp_path / "none"), limit)
+    assert sharding.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_letters_alone_are_letters(spark):
+    learn = [(i, f"the house and the thing {i}" if i % 2 else f"le éte vous aux {i}", "en" if i % 2 else "fr") for i in range(60)]
+    docs = docs_of(spark, learn + [(100 + i, t, "en") for i, t in enumerate(["½", "² ⑤", "ⅷ", "⑤ 12"])])
+    out = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.predict(docs).collect()}
+    assert all(out[100 + i] == ("und", 0.0) for i in range(4))
+
+
+def test_languages_and_rows_are_parameters(spark):
+    docs = docs_of(spark, [(i, f"text {i}", f"l{i % 7}") for i in range(300)])
+    assert len({lang for _, lang in lang_id.sample(docs)}) == 7
+    assert {lang for _, lang in lang_id.sample(docs, rows=5, languages=3)} < {f"l{i}" for i in range(7)}
+
+
+def test_forward_pass_by_loops():
+    """The pooled probabilities of a text against one position and unit after another."""
+    net = lang_id.ByteGru(["a", "b", "c"], 3, seed=9)
+    texts = ["the house", "é" * 200 + "x", "z"]
+    P = {k: v.astype(float) for k, v in net.p.items()}
+    squash = lambda x: x / (1 + abs(x))
+    for text, got_probs in zip(texts, lang_id.document_probs(net, texts)):
+        total, n = np.zeros(3), 0
+        data = text.encode()
+        for w in (data[i : i + lang_id.WINDOW] for i in range(0, len(data), lang_id.WINDOW)):
+            states = []
+            for d, order in ((0, range(len(w))), (1, range(len(w) - 1, -1, -1))):
+                s, seen = [0.0] * 3, {}
+                for t in order:
+                    gate = lambda g, v: [P["X" + g][d][w[t]][j] + sum(v[i] * P["U" + g][d][i][j] for i in range(3)) for j in range(3)]  # noqa: E731, B023
+                    z, r = ([0.5 + 0.5 * squash(x) for x in gate(g, s)] for g in "zr")
+                    c = [squash(x) for x in gate("c", [a * b for a, b in zip(r, s)])]
+                    s = [a + k * (b - a) for a, k, b in zip(s, z, c)]
+                    seen[t] = s
+                states.append(seen)
+            for t in range(len(w)):
+                h = states[0][t] + states[1][t]
+                e = np.exp([P["b"][k] + sum(h[i] * P["V"][i][k] for i in range(6)) for k in range(3)])
+                total += e / e.sum()
+                n += 1
+        assert np.abs(total / n - got_probs).max() < 1e-4
+
+
+@pytest.mark.parametrize("most_docs, most_cost", [(None, None), (3, 5000.0), (5, None), (None, 3000.0)])
+def test_packing_choice_by_loops(most_docs, most_cost):
+    """Every piece's bin against a search of all open bins, scored in plain numbers."""
+    lengths = np.random.default_rng(4).integers(1, 101, 400)
+    cap, docs, cost = 100, most_docs or 100, most_cost or 100.0 * 100
+    w = [x / c for x, c in zip(packing.WEIGHTS, (cap, docs, cost))]
+    bins, where = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = (int(lengths[i]), 1, float(lengths[i]) ** 2)
+        fits = [b for b in bins if all(r >= x for r, x in zip(b["rest"], need))]
+        if not fits:
+            fits = [{"rest": [cap, docs, max(cost, need[2])], "own": []}]
+            bins += fits
+        dot = lambda b: sum((c - r) * x * v / c for r, x, v, c in zip(b["rest"], need, w, (cap, docs, cost)))
+        top = max(map(dot, fits))
+        near = [b for b in fits if dot(b) >= top - 1e-12]
+        free = lambda b: sum(((r - x) * v) ** 2 for r, x, v in zip(b["rest"], need, w))
+        low = min(map(free, near))
+        best = [b for b in near if free(b) <= low * (1 + 1e-12)]
+        where[i] = best
+        best[0]["own"].append(i)
+        best[0]["rest"] = [r - x for r, x in zip(best[0]["rest"], need)]
+    made, offsets = packing.pack(lengths, 100, most_docs, most_cost)
+    assert made.max() + 1 == len(bins)
+    content = lambda groups: sorted(sorted(int(lengths[i]) for i in g) for g in groups)
+    assert content([b["own"] for b in bins]) == content([np.flatnonzero(made == k) for k in range(len(bins))])
+
+
+def test_sampled_pieces_hash_collisions(monkeypatch):
+    """With hashes that meet other strings, texts still come back whole."""
+    p = sample_pieces.Pieces(bpe.tokenizer_path("piece_bpe_32k.model"))
+    find = p.find
+    wrong = int(p.ids["the"])
+    monkeypatch.setattr(p, "find", lambda h: np.where((find(h) < 0) & (h % np.uint64(11) == 0), wrong, find(h)))
+    import pyarrow as pa
+
+    texts = [f"there and thing {i} zq▁x  y" for i in range(50)]
+    raw = [sample_pieces.decode(p, x).decode("utf-8", "replace") for x in sample_pieces.sample(p, texts, list(range(50)))]
+    assert raw != texts
+    ids, back = sample_pieces.checked(p, pa.array(texts), list(range(50)))
+    assert [b.decode() for b in back] == texts
+
+
+def test_token_table_wide_ids(tmp_path):
+    for ids, width in (([1, 70_000], 4), ([1, 65_535], 2)):
+        with open(tmp_path / f"{width}", "wb") as f:
+            w = token_table.Writer(f, width)
+            w.add(token_table.key_of(3), np.array(ids, np.uint32))
+            w.close()
+        assert token_table.Reader(str(tmp_path / f"{width}")).lookup(3)[0].tolist() == ids
+    with open(tmp_path / "x", "wb") as f, pytest.raises(ValueError):
+        token_table.Writer(f, 2).add(token_table.key_of(3), np.array([70_000], np.uint32))
+
+
+def test_token_table_shards_by_size(spark, monkeypatch):
+    monkeypatch.setattr(token_table, "SHARD_DOCS", 10)
+    docs = docs_of(spark, [(i if i < 150 else None, f"text {i}", "en") for i in range(300)])
+    manifest = token_table.write(docs)
+    assert manifest.count() >= 25  # the rows without an id as well
+    assert token_table.read(manifest).count() == 300
