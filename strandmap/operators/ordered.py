@@ -1,6 +1,8 @@
 """Ordered scans that a single task could not hold: running sums, neighbours and as-of values over a
 whole table. Rows are cut into ranges of the order column; each range is scanned by itself, and what
-goes over a range's edge is carried by a table with one row a range, which alone is scanned by one task."""
+goes over a range's edge is carried by a table with one row a range, which alone is scanned by one task:
+width and the order column's span decide how many there are. Rows without an order value stay, add nothing
+to the others and have no place (null)."""
 
 from __future__ import annotations
 
@@ -9,16 +11,27 @@ from pyspark.sql import functions as F
 
 
 def ranges(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_range", F.floor(F.col(order) / width))
+    """df with _range; rows without an order value are dealt to ranges before all others, by their partition."""
+    none = F.lit(-(1 << 62)) - F.spark_partition_id()
+    return df.withColumn("_range", F.coalesce(F.floor(F.col(order) / width), none))
+
+
+def placed(order: str, value: Column) -> Column:
+    return F.when(F.col(order).isNotNull(), value)
 
 
 def running_sum(df: DataFrame, order: str, value: Column, name: str, width: int = 4096) -> DataFrame:
     """Adds the sum of value over all rows before and with each row. order must be unique."""
-    rows = ranges(df, order, width).withColumn("_value", value)
+    rows = ranges(df.withColumn("_value", placed(order, value)), order, width)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carry = rows.groupBy("_range").agg(F.sum("_value").alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
     within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(carry, "_range").withColumn(name, F.col("_carry") + F.sum("_value").over(within)).drop("_range", "_value", "_carry")
+    return rows.join(carry, "_range", "left").withColumn(name, placed(order, F.col("_carry") + F.sum("_value").over(within))).drop("_range", "_value", "_carry")
+
+
+def number(df: DataFrame, order: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds the place of each row, from 0. order must be unique."""
+    return running_sum(df, order, F.lit(1).cast("bigint"), name, width).withColumn(name, F.col(name) - 1)
 
 
 def neighbour(df: DataFrame, order: str, name: str, after: bool = False, width: int = 4096) -> DataFrame:
@@ -28,15 +41,16 @@ def neighbour(df: DataFrame, order: str, name: str, after: bool = False, width:
     over = Window.orderBy("_range")
     carry = edge.select("_range", (F.lead if after else F.lag)("_edge").over(over).alias("_carry"))
     own = (F.lead if after else F.lag)(order).over(Window.partitionBy("_range").orderBy(order))
-    return rows.join(carry, "_range").withColumn(name, F.coalesce(own, "_carry")).drop("_range", "_carry")
+    return rows.join(carry, "_range", "left").withColumn(name, placed(order, F.coalesce(own, "_carry"))).drop("_range", "_carry")
 
 
 def as_of(probes: DataFrame, starts: DataFrame, key: str, start: str, name: str, width: int = 4096) -> DataFrame:
     """Adds to each probe the last start at or before its key, null below the first."""
-    both = probes.withColumn("_start", F.lit(None).cast("bigint")).withColumn("_probe", F.lit(True)).unionByName(starts.select(F.col(start).alias(key), F.col(start).alias("_start"), F.lit(False).alias("_probe")), allowMissingColumns=True)
+    found = starts.where(F.col(start).isNotNull()).select(F.col(start).alias(key), F.col(start).alias("_start"), F.lit(False).alias("_probe"))
+    both = probes.withColumn("_start", F.lit(None).cast("bigint")).withColumn("_probe", F.lit(True)).unionByName(found, allowMissingColumns=True)
     rows = ranges(both, key, width)
     last = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carry = rows.groupBy("_range").agg(F.max("_start").alias("_max")).select("_range", F.max("_max").over(last).alias("_carry"))
     within = Window.partitionBy("_range").orderBy(key, "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(carry, "_range").withColumn(name, F.coalesce(F.last("_start", ignorenulls=True).over(within), "_carry"))
+    out = rows.join(carry, "_range", "left").withColumn(name, placed(key, F.coalesce(F.last("_start", ignorenulls=True).over(within), "_carry")))
     return out.where("_probe").drop("_range", "_start", "_probe", "_carry")

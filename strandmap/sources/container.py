@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import codec
+from ..functions.dna import BASES, FULL, PER_WORD
+from ..operators.graph import cut
 
 # Fixed values of the format: tags in the low half of a header's first word, flag bits, the mark of no value.
 CONTAINER_TAG = 0x205A4247
@@ -37,7 +39,9 @@ MODULES = {
     "headers": "module string, version int, fields map<string, bigint>, flags bigint",
     "tags": "module string, key string, value string",
     "records": "record_id bigint, sigma int, data binary, outgoing array<struct<to:bigint,rank_offset:bigint>>, runs array<struct<outrank:bigint,len:bigint>>",
+    "record_bytes": "record_id bigint, data binary",
     "sequences": "node_id bigint, seq string",
+    "packed": "node_id bigint, bits int, words array<int>, length int",
     "paths": "path_id bigint, sample bigint, contig bigint, phase bigint, fragment bigint",
     "samples": "id bigint, name string",
     "contigs": "id bigint, name string",
@@ -172,6 +176,28 @@ def string_slice(f: Words, part: dict, lo: int, hi: int) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(cuts, cuts[1:])]
 
 
+def packed_slice(f: Words, part: dict, lo: int, hi: int) -> Iterator[tuple]:
+    """(node, bits of a base, words, length) of labels lo to hi, recoded without a string of any. All labels of a file
+    have 3 bits if its alphabet has an N, else 2."""
+    alphabet = f.bytes_at(part["alphabet"]["at"], part["alphabet"]["n"]).decode("latin-1").upper()
+    if not set(alphabet) <= set(BASES):
+        raise ValueError(f"labels have other characters than {BASES}")
+    bits = 3 if "N" in alphabet else 2
+    per = PER_WORD[bits]
+    ends = bounds(f, part["index"], lo, hi, part["chars"]["n"])
+    length = np.diff(ends)
+    code = np.array([BASES.index(c) for c in alphabet] or [0], np.int64)[int_slice(f, part["chars"], int(ends[0]), int(ends[-1])).astype(np.int64)]
+    place = np.arange(len(code)) - np.repeat(ends[:-1] - ends[0], length)
+    count = -(-length // per)
+    first = np.cumsum(count) - count
+    words = np.zeros(int(count.sum()), np.int64)
+    np.bitwise_or.at(words, np.repeat(first, length) + place // per, code << place % per * bits)
+    full = np.arange(len(words)) - np.repeat(first, count) < np.repeat(length // per, count)
+    words = np.where(full, words - FULL, words).tolist()
+    for i, (a, n, size) in enumerate(zip(first.tolist(), count.tolist(), length.tolist(), strict=True), lo + 1):
+        yield i, bits, words[a : a + n], size
+
+
 def header(f: Words, tag: int, names: tuple[str, ...]) -> dict:
     first, *rest = f.take(1 + len(names))
     if first & NO_VALUE != tag:
@@ -179,6 +205,19 @@ def header(f: Words, tag: int, names: tuple[str, ...]) -> dict:
     return {"version": first >> 32, **dict(zip(names, rest, strict=True))}
 
 
+def block(f: Words, flag: bool) -> int | None:
+    """Size in bytes of an optional block that begins here; None where there is none: its first word is zero, or
+    no size that the rest of the file could hold, and then it belongs to what follows (f stays before it)."""
+    begin = f.at
+    n = f.take()[0] if f.at + 8 <= f.size else 0
+    if n and 8 * n > f.size - f.at or f.at > f.size:
+        f.at = begin
+        return None
+    if not n and flag:
+        raise ValueError("the index header and the metadata block disagree")
+    return 8 * n or None
+
+
 def layout(f: Words) -> dict:
     """Headers and the place of every part. Optional blocks may be empty or, in old files, left out."""
     out = {"container": header(f, CONTAINER_TAG, ("flags",)), "container_tags": strings_part(f)}
@@ -187,17 +226,18 @@ def layout(f: Words) -> dict:
         raise ValueError("only the simple serialisation of the index is read")
     out["index_tags"], out["starts"], out["records"] = strings_part(f), sparse_part(f), bytes_part(f)
     if f.peek_tag() != GRAPH_TAG:
-        end = 8 * f.take()[0] + f.at
-        if end > f.at:
-            if f.at + 8 <= f.size and f.peek_tag() == METADATA_TAG:  # no block of samples: this is the metadata
+        n = block(f, False)
+        if n:
+            end = f.at + n
+            if f.peek_tag() == METADATA_TAG:  # no block of samples: this is the metadata
                 f.at -= 8
             else:
                 out["da"] = {"marked": bits_part(f), "ranges": sparse_part(f), "offsets": sparse_part(f), "array": ints_part(f)}
                 f.at = end
-    if f.peek_tag() != GRAPH_TAG and f.at < f.size:
-        n = f.take()[0]
+    if f.peek_tag() != GRAPH_TAG:
+        n = block(f, bool(out["index"]["flags"] & INDEX_METADATA))
         if n:
-            end = f.at + 8 * n
+            end = f.at + n
             out["metadata"] = header(f, METADATA_TAG, ("samples", "haplotypes", "contigs", "flags"))
             count = f.take()[0]
             out["paths"] = {"n": count, "at": f.skip(16 * count)}
@@ -222,8 +262,10 @@ def layout(f: Words) -> dict:
 
 def size(parts: dict, module: str) -> int:
     """Entries of a module that can be cut into ranges; 1 for the small ones."""
-    if module == "records":
+    if module in ("records", "record_bytes"):
         return parts["starts"]["low"]["n"]
+    if module == "packed":
+        return parts["sequences"]["index"]["low"]["n"]
     if module in ("sequences", "segments", "samples", "contigs"):
         return parts[module]["index"]["low"]["n"] if module in parts else 0
     if module == "paths":
@@ -244,12 +286,20 @@ def entries(f: Words, parts: dict, module: str, lo: int, hi: int) -> Iterator[tu
             flat = string_slice(f, part, 0, part["index"]["low"]["n"])
             for k, v in dict(zip(flat[::2], flat[1::2])).items():  # an odd item has no value; the last of a key stays
                 yield name, k, v
-    elif module == "records":
+    elif module in ("records", "record_bytes"):
         ends = bounds(f, parts["starts"], lo, hi, parts["records"]["n"]).tolist()
         for i, (a, b) in enumerate(zip(ends, ends[1:]), lo):
             data = f.bytes_at(parts["records"]["at"] + a, b - a)
+            if module == "record_bytes":
+                yield i, data
+                continue
             outgoing, runs = codec.decode_record(data)
             yield i, len(outgoing), data, outgoing, runs
+    elif module == "packed":
+        part = parts["sequences"]
+        if "zstd" in part:
+            raise ValueError("labels in a compressed block have no packed form to read")
+        yield from packed_slice(f, part, lo, hi)
     elif module == "paths":
         for i, row in enumerate(f.words_at(parts["paths"]["at"] + 16 * lo, 2 * (hi - lo)).view("<u4").reshape(-1, 4).tolist(), lo):
             yield i, *(None if x == NO_VALUE else x for x in row)
@@ -273,12 +323,13 @@ class Range(InputPartition):
 
 
 class ContainerReader(DataSourceReader):
-    def __init__(self, path: str, module: str, rows: int):
-        self.path, self.module, self.rows = path, module, rows
+    def __init__(self, path: str, module: str, rows: int, first: int, last: int | None):
+        self.path, self.module, self.rows, self.first, self.last = path, module, rows, first, last
 
     def partitions(self):
         n = size(layout(Words(self.path)), self.module)
-        return [Range(a, min(a + self.rows, n)) for a in range(0, n, self.rows)] or [Range(0, 0)]
+        stop = n if self.last is None else min(n, self.last + 1)
+        return [Range(a, min(a + self.rows, stop)) for a in range(self.first, stop, self.rows)] or [Range(0, 0)]
 
     def read(self, partition):
         if partition.hi > partition.lo:
@@ -287,7 +338,7 @@ class ContainerReader(DataSourceReader):
 
 
 class ContainerSource(DataSource):
-    """Options: path, module (one of MODULES), rows (entries a task)."""
+    """Options: path, module (one of MODULES), rows (entries a task), first and last (entries from and to, from 0)."""
 
     @classmethod
     def name(cls):
@@ -297,12 +348,70 @@ class ContainerSource(DataSource):
         return MODULES[self.options.get("module", "headers")]
 
     def reader(self, schema):
-        return ContainerReader(self.options["path"], self.options.get("module", "headers"), int(self.options.get("rows", ROWS_A_TASK)))
+        return ContainerReader(self.options["path"], self.options.get("module", "headers"), int(self.options.get("rows", ROWS_A_TASK)), int(self.options.get("first", 0)), int(self.options["last"]) if "last" in self.options else None)
 
 
-def read(spark, path: str, module: str, rows: int = ROWS_A_TASK) -> DataFrame:
+def read(spark, path: str, module: str, rows: int = ROWS_A_TASK, first: int = 0, last: int | None = None) -> DataFrame:
+    """A module, or its entries from first to last alone: a look-up reads no other bytes of the body."""
     spark.dataSource.register(ContainerSource)
-    return spark.read.format("graph_container").option("module", module).option("rows", rows).load(path)
+    source = spark.read.format("graph_container").option("module", module).option("rows", rows).option("first", first)
+    return (source if last is None else source.option("last", last)).load(path)
+
+
+def load(spark, path: str, without: tuple[str, ...] = ("record_bytes", "packed")) -> dict[str, DataFrame]:
+    """All modules but some, lazily: none is read before an action on it."""
+    return {m: read(spark, path, m) for m in MODULES if m not in without}
+
+
+def stages(path: str) -> list[tuple[str, int]]:
+    """The parts of a file with a body, in order, and where each body begins."""
+    parts = layout(Words(path))
+    places = [("container_tags", parts["container_tags"]["chars"]["at"]), ("index_tags", parts["index_tags"]["chars"]["at"]), ("records", parts["records"]["at"])]
+    places += [(m, parts[m]["at"]) for m in ("paths",) if m in parts]
+    label = parts["sequences"]
+    places += [("sequences", (label["zstd"] if "zstd" in label else label["chars"])["at"]), ("segments", parts["segments"]["chars"]["at"])]
+    return sorted(places, key=lambda p: p[1])
+
+
+def label(spark, path: str, node: int) -> str | None:
+    rows = read(spark, path, "sequences", first=node - 1, last=node - 1).collect() if node > 0 else []
+    return rows[0].seq if rows else None
+
+
+def predicates(headers: DataFrame) -> DataFrame:
+    """module and what its flags say: simple, metadata, bidirectional (index), translation, zstd (graph, from version 4)."""
+    on = lambda module, bit: F.when(F.col("module") == module, F.col("flags").bitwiseAND(bit) != 0)
+    zstd = on("graph", GRAPH_ZSTD) & (F.col("version") > 3)
+    return headers.select("module", on("index", INDEX_SIMPLE).alias("simple"), on("index", INDEX_METADATA).alias("metadata"), on("index", INDEX_BIDIRECTIONAL).alias("bidirectional"), on("graph", GRAPH_TRANSLATION).alias("translation"), zstd.alias("zstd"))
+
+
+def described(headers: DataFrame) -> DataFrame:
+    """module and its header as text: version and fields, by name, with thousands separated."""
+    fields = F.array_sort(F.map_entries("fields"))
+    text = F.array_join(F.transform(fields, lambda x: F.concat(x["key"], F.lit("="), F.format_number(x["value"], 0))), ", ")
+    return headers.select("module", F.concat(F.col("module"), F.lit(" v"), F.col("version").cast("string"), F.lit(", "), text).alias("text"))
+
+
+def broken(spark, path: str, count: int = 1000) -> DataFrame:
+    """How many of the first records are read and how many of them are broken."""
+    rows = read(spark, path, "record_bytes", last=count - 1).select(codec.record_valid(F.col("data")).alias("valid"))
+    return rows.agg(F.count("*").alias("records"), F.count_if(~F.col("valid")).alias("broken"))
+
+
+def edge_count(records: DataFrame, record_id: int) -> DataFrame:
+    return records.where(F.col("record_id") == record_id).select(F.size("outgoing").cast("bigint").alias("edges"))
+
+
+def edge_target(records: DataFrame, record_id: int, edge: int) -> DataFrame:
+    """Target of one edge (from 0) of one record; no row if there is no such edge."""
+    return records.where((F.col("record_id") == record_id) & (F.size("outgoing") > edge)).select(F.get("outgoing", F.lit(edge))["to"].alias("to"))
+
+
+def chunks(spark, path: str, size: int = 1 << 20) -> DataFrame:
+    """A small file's bytes in chunks: chunk, data."""
+    whole = spark.read.format("binaryFile").load(path)
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((length - 1) div {size} as int)"))))
+    return whole.where("length > 0").select("content", at.alias("chunk")).select("chunk", F.expr(f"substring(content, chunk * {size} + 1, {size})").alias("data"))
 
 
 # Writing. A part is a list of byte strings.
@@ -377,11 +486,12 @@ def tags_bytes(tags: dict[str, str]) -> bytes:
 def write(
     path: str, records: DataFrame, sequences: DataFrame, paths: DataFrame | None = None, samples: DataFrame | None = None, contigs: DataFrame | None = None, segments: DataFrame | None = None, tags: dict | None = None, index_tags: dict | None = None, offset: int = 1, bidirectional: bool = True, zstd: bool = True
 ) -> None:
-    """Write a container. The format is one sequential file, so the driver writes it and holds its
-    modules while it does: for files that fit there. Records come encoded from the executors, in
-    order of record_id; larger graphs belong in Parquet."""
+    """Write a container. The format is one sequential file, so the driver writes it. Records come encoded from the
+    executors, in order of record_id, and are written as they come; of them the driver holds their lengths, of
+    the other modules all. Larger graphs belong in Parquet."""
     column = lambda df, key, *names: [tuple(r) for r in df.orderBy(key).select(*names).toLocalIterator()]
-    data = [bytes(r[0]) for r in records.orderBy("record_id").select(codec.record_bytes(F.col("outgoing"), F.col("runs"))).toLocalIterator()]
+    encoded = cut(records.orderBy("record_id").select("record_id", codec.record_bytes(F.col("outgoing"), F.col("runs")).alias("data")))
+    lengths = [r[0] for r in encoded.select(F.length("data")).toLocalIterator()]
     total = records.select(F.sum(codec.run_total(F.col("runs")))).first()[0] or 0
     meta = b""
     rows = []
@@ -396,8 +506,11 @@ def write(
     system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     with system.open_output_stream(name) as out:
         out.write(words(CONTAINER_TAG | 1 << 32, 0) + tags_bytes(tags or {}))
-        out.write(words(INDEX_TAG | 5 << 32, len(rows) * (2 if bidirectional else 1), total, offset, len(data) + offset, flags) + tags_bytes(index_tags or {}))
-        out.write(sparse_bytes(starts([len(x) for x in data])) + blob(b"".join(data)))
+        out.write(words(INDEX_TAG | 5 << 32, len(rows) * (2 if bidirectional else 1), total, offset, len(lengths) + offset, flags) + tags_bytes(index_tags or {}))
+        out.write(sparse_bytes(starts(lengths)) + words(sum(lengths)))
+        for r in encoded.select("data").toLocalIterator():
+            out.write(bytes(r[0]))
+        out.write(bytes(-sum(lengths) % 8))
         out.write(words(0) + words(len(meta) // 8) + meta)
         out.write(words(GRAPH_TAG | (4 if zstd else 3) << 32, len(labels), (GRAPH_TRANSLATION if places else 0) | GRAPH_ZSTD))
         out.write(zstd_bytes(labels) if zstd else strings_bytes(labels))

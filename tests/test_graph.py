@@ -6,12 +6,16 @@ from strandmap.operators import graph, ordered
 from strandmap.sources import gfa
 
 
+def pointed(targets):
+    return [n for n in targets if not any(n in own for own in targets.values())]
+
+
 def test_traversal_covers_each_node_once():
     rng = random.Random(1)
     for _ in range(50):
         n = rng.randint(1, 30)
         targets = {i: sorted(rng.sample(range(1, n + 3), rng.randint(0, 3)) if n > 1 else []) for i in range(1, n + 1)}
-        rows = list(graph.traverse(targets))
+        rows = list(graph.traverse(targets, pointed(targets), 1, n))
         assert sorted(r[0] for r in rows) == sorted(targets)
         blocks = [r[1] for r in rows]
         assert blocks == sorted(blocks)
@@ -19,8 +23,10 @@ def test_traversal_covers_each_node_once():
             assert (x == y) == (not end) == (not start)
             if x == y:  # a block goes on along the only way out
                 assert targets[a] == [b]
-    assert [r[0] for r in graph.traverse({1: [2], 2: [3], 3: [], 4: [4]})] == [1, 2, 3, 4]
-    assert [r[0] for r in graph.traverse({1: [3], 2: [3], 3: []})] == [2, 3, 1]
+    order = lambda t, starts: [r[0] for r in graph.traverse(t, starts, 1, max(t))]
+    assert order({1: [2], 2: [3], 3: [], 4: [4]}, [1]) == [1, 2, 3, 4]
+    assert order({1: [3], 2: [3], 3: []}, [1, 2]) == [2, 3, 1]
+    assert order({1: [2], 2: [], 3: []}, [1]) == [1, 2, 3]  # 3 is entered from another range: it waits
 
 
 def test_unitigs_and_components(spark):
@@ -85,3 +91,17 @@ def test_oracles(spark):
             assert got == sorted(map(flat, r.project(",".join(f'"{x}"' for x in cols)).fetchall())), name
         else:
             assert got, name
+
+
+def test_ordered_scans_keep_null_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 6), (None, 5), (2, 1), (None, 7), (9000, 2)], "k bigint, v bigint").repartition(3)
+    rows = lambda out: sorted(((r.k, r.v, r.x) for r in out.collect()), key=str)
+    want = lambda *x: sorted([(1, 6, x[0]), (2, 1, x[1]), (9000, 2, x[2]), (None, 5, None), (None, 7, None)], key=str)
+    assert rows(ordered.running_sum(df, "k", F.col("v"), "x")) == want(6, 7, 9)
+    assert rows(ordered.number(df, "k", "x")) == want(0, 1, 2)
+    assert rows(ordered.neighbour(df, "k", "x")) == want(None, 1, 2)
+    assert rows(ordered.neighbour(df, "k", "x", after=True)) == want(2, 9000, None)
+    starts = spark.createDataFrame([(2,), (None,)], "s bigint")
+    assert rows(ordered.as_of(df, starts, "k", "s", "x")) == want(None, 2, 2)

@@ -18,7 +18,7 @@ def test_rows_come_back(spark, tmp_path):
     block_rows.write(spark.createDataFrame(rows, schema), str(tmp_path / "rows"))
     out = {r["node_id"]: r for r in block_rows.read(spark, str(tmp_path / "rows")).collect()}
     assert out[7]["edges"] == [9, 10, 2] and out[7]["edge_orientations"] == [2, 3, 2] and out[7]["seq"] == "ACGT" * 9
-    assert (out[7]["flags"], out[9]["flags"], out[10]["flags"]) == (1, 2, 3)
+    assert (out[7]["flags"], out[9]["flags"], out[10]["flags"]) == (33, 2, 3)  # 32: there are rank offsets
     assert out[7]["rank_offsets"] == [0, 2, 5, 6] and out[9]["rank_offsets"] == out[10]["rank_offsets"] == []
     assert out[10]["edges"] == [] and out[10]["seq"] == "" and out[10]["contig_id"] == -1 and out[10]["range_id"] == 3
     block_rows.write(spark.createDataFrame([], schema), str(tmp_path / "none"))
