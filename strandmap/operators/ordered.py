@@ -29,6 +29,17 @@ def running_sum(df: DataFrame, order: str, value: Column, name: str, width: int
     return rows.join(carry, "_range", "left").withColumn(name, placed(order, F.col("_carry") + F.sum("_value").over(within))).drop("_range", "_value", "_carry")
 
 
+def running_sum_by(df: DataFrame, key: str, order: str, value: Column, name: str, width: int = 4096) -> DataFrame:
+    """Adds the sum of value over the key's rows before and with each row: ranges within the key, so that a key that
+    holds much of the table is many tasks. order must be unique within a key; rows without one stay apart."""
+    rows = ranges(df.withColumn("_value", placed(order, value)), order, width)
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(key, "_range").agg(F.sum("_value").alias("_sum")).select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
+    within = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(carry, rows[key].eqNullSafe(carry["_key"]) & (rows["_range"] == carry["_at"]), "left")
+    return out.withColumn(name, placed(order, F.col("_carry") + F.sum("_value").over(within))).drop("_range", "_value", "_carry", "_key", "_at")
+
+
 def number(df: DataFrame, order: str, name: str, width: int = 4096) -> DataFrame:
     """Adds the place of each row, from 0. order must be unique."""
     return running_sum(df, order, F.lit(1).cast("bigint"), name, width).withColumn(name, F.col(name) - 1)

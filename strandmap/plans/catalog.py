@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, codec, dna
@@ -13,22 +12,9 @@ from ..operators import graph, ordered, walks
 from ..sources import block_rows as rows_sink
 from ..sources import synthetic
 from . import tables as t
+from .registry import ORACLES, QUERIES, query
 from .tables import SEGMENTS, SEQ, STEPS, SUPPORT, W1, W2, W3, W4
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Degrees, support, frequencies
 
 
@@ -122,27 +108,43 @@ def rank_offset_lists(spark, d):
     return rows.select("path_id", F.element_at("o", -1).alias("total"), F.size("o").cast("bigint").alias("runs"), F.array_join(F.transform("o", lambda x: x.cast("string")), ",").alias("offsets"))
 
 
-@query(f"WITH {RUNS}, v AS (SELECT path_id, count(*) AS visits FROM w GROUP BY 1) SELECT path_id, visits, CAST(sum(len) AS BIGINT) = visits AS valid FROM r JOIN v USING (path_id) GROUP BY path_id, visits")
-def record_validity(spark, d):
-    w = t.event_walks(spark, d)
-    n = w.groupBy("path_id").agg(F.count("*").alias("visits"))
-    return walks.runs(w).groupBy("path_id").agg(F.sum("len").alias("s")).join(n, "path_id").select("path_id", "visits", (F.col("s") == F.col("visits")).alias("valid"))
+#: Bytes of a record whose edges lead to 0, 1, .. with rank offsets 0: numbers below 128 are a byte each.
+BYTE = "printf('%02X', {})"
+NUMBER = f"CASE WHEN {{0}} < 128 THEN {BYTE.format('{0}')} ELSE {BYTE.format('{0} % 128 + 128')} || {BYTE.format('{0} // 128')} END"
+RECORD = f"""{RUNS}, c AS (SELECT node_id, CAST(dense_rank() OVER (ORDER BY node_id) - 1 AS BIGINT) AS outrank FROM (SELECT DISTINCT node_id FROM w)),
+    k AS (SELECT count(*) AS sigma, {BYTE.format("count(*)")} || string_agg(CASE WHEN outrank = 0 THEN '0000' ELSE '0100' END, '' ORDER BY outrank) AS head, 256 // count(*) AS room FROM c),
+    y AS (SELECT path_id, run, len, CASE WHEN len < room THEN {BYTE.format("outrank + sigma * (len - 1)")} ELSE {BYTE.format("outrank + sigma * (room - 1)")} || {NUMBER.format("(len - room)")} END AS code FROM r JOIN c USING (node_id), k)"""
 
 
-@query(f"WITH {RUNS} SELECT path_id, CAST(sum(len) AS BIGINT) AS total, count(*) AS runs, true AS valid FROM r GROUP BY 1")
-def record_codec(spark, d):
-    """Runs of each walk over the event types, as record bytes and back."""
+def event_records(spark, d) -> DataFrame:
+    """Runs of each walk over the event types as record bytes: path_id, data."""
     w = t.event_walks(spark, d)
     codes = w.select("node_id").distinct().select("node_id", (F.dense_rank().over(Window.orderBy("node_id")) - 1).cast("bigint").alias("outrank"))  # a few types
     r = walks.runs(w).join(codes, "node_id").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("run", "outrank", "len"))).alias("r"))
     n = codes.agg(F.array_sort(F.collect_list(F.struct(F.col("outrank").alias("to"), F.lit(0).cast("bigint").alias("rank_offset")))).alias("outgoing"))
-    data = r.join(F.broadcast(n), F.lit(True)).select("path_id", codec.record_bytes(F.col("outgoing"), F.transform("r", lambda x: F.struct(x["outrank"].alias("outrank"), x["len"].alias("len")))).alias("data"))  # n is one row
-    back = data.select("path_id", codec.record_valid(F.col("data")).alias("valid"), codec.record_struct(F.col("data")).alias("s"))
-    return back.select("path_id", codec.run_total(F.col("s.runs")).alias("total"), F.size("s.runs").cast("bigint").alias("runs"), "valid")
+    return r.join(F.broadcast(n), F.lit(True)).select("path_id", codec.record_bytes(F.col("outgoing"), F.transform("r", lambda x: F.struct(x["outrank"].alias("outrank"), x["len"].alias("len")))).alias("data"))  # n is one row, an entry an event type
+
+
+@query(f"WITH {RECORD} SELECT path_id, (SELECT head FROM k) || string_agg(code, '' ORDER BY run) AS data, CAST(sum(len) AS BIGINT) AS total, count(*) AS runs FROM y GROUP BY 1")
+def record_codec(spark, d):
+    """Runs of each walk over the event types, as record bytes and read again."""
+    back = event_records(spark, d).select("path_id", "data", codec.record_struct(F.col("data")).alias("s"))
+    return back.select("path_id", F.hex("data").alias("data"), codec.run_total(F.col("s.runs")).alias("total"), F.size("s.runs").cast("bigint").alias("runs"))
+
+
+@query(f"WITH {W2} SELECT DISTINCT path_id, path_id % 4 = 0 AS valid FROM w")
+def record_validity(spark, d):
+    """Whole records and broken ones: of 127 edges, which their bytes do not hold; empty; one byte after no edges."""
+    rows = event_records(spark, d)
+    kind = F.pmod("path_id", F.lit(4))
+    rest = F.expr("substring(data, 2, length(data))")
+    data = F.when(kind == 1, F.concat(F.unhex(F.lit("7F")), rest)).when(kind == 2, F.unhex(F.lit(""))).when(kind == 3, F.unhex(F.lit("0005"))).otherwise(F.col("data"))
+    return rows.select("path_id", codec.record_valid(data).alias("valid"))
 
 
 @query(
-    f"""WITH {W1}, p AS (SELECT *, lead(node_id) OVER (PARTITION BY path_id ORDER BY step) AS to_node, coalesce(list_reverse(list(node_id) OVER (PARTITION BY path_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), []) AS prefix FROM w),
+    f"""WITH {W1}, z AS (SELECT *, lpad(CAST(node_id AS VARCHAR), 8, '0') AS digits FROM w),
+    p AS (SELECT path_id, step, node_id, lead(node_id) OVER x AS to_node, coalesce(lag(digits, 1) OVER x, '') || coalesce(lag(digits, 2) OVER x, '') || coalesce(lag(digits, 3) OVER x, '') || coalesce(lag(digits, 4) OVER x, '') || CASE WHEN step > 5 THEN (SELECT string_agg(o.digits, '' ORDER BY o.step DESC) FROM z o WHERE o.path_id = z.path_id AND o.step < z.step - 4) ELSE '' END AS prefix FROM z WINDOW x AS (PARTITION BY path_id ORDER BY step)),
     q AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY prefix, path_id) - 1 AS position FROM p)
     SELECT a.path_id, CAST(a.step AS BIGINT) AS step, a.node_id, a.position, a.to_node, b.position AS next_position FROM q a JOIN q b ON a.path_id = b.path_id AND b.step = a.step + 1"""
 )
@@ -277,8 +279,8 @@ def genotype_call(spark, d):
 @query("SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars + 1 AS BIGINT) AS position FROM documents")
 def site_coordinate(spark, d):
     """Where each node starts on its reference walk."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.table(spark, d, "documents").select("source", "doc_id", (F.sum("n_chars").over(w) - F.col("n_chars") + 1).alias("position"))
+    rows = t.table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return ordered.running_sum_by(rows, "source", "doc_id", F.col("n_chars"), "stop").select("source", "doc_id", (F.col("stop") - F.col("n_chars") + 1).alias("position"))
 
 
 @query("SELECT c_custkey, coalesce(CAST(count(o_orderkey) AS VARCHAR), '*') AS n, CASE WHEN count(o_orderkey) = 0 THEN '*' ELSE CAST(min(o_orderkey) AS VARCHAR) END AS allele FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -410,15 +412,6 @@ def graph_components(spark, d):
     return graph.components(walks.support(w), walks.nodes(w))
 
 
-@query()
-def blocks_dfs(spark, d):
-    """Ordered traversal of the part graph, cut into ranges of 500 nodes."""
-    w = t.part_walks(spark, d)
-    out = walks.support(w).groupBy(F.col("from_node").alias("node_id")).agg(F.array_sort(F.collect_list("to_node")).alias("targets"))
-    adjacency = walks.nodes(w).join(out, "node_id", "left").select(F.floor(F.col("node_id") / 500).alias("range_id"), "node_id", F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"))
-    return graph.dfs_blocks(adjacency)
-
-
 @query(
     f"""WITH {W4}, x AS (SELECT *, lead(node_id) OVER (PARTITION BY path_id ORDER BY step) AS t FROM w)
     SELECT CAST(node_id // 5000 AS BIGINT) AS range_id, node_id, step - 1 AS ord, CAST(t IS NOT NULL AS INTEGER) AS edge_count, CAST(CAST(step = 1 AS INTEGER) + 2 * CAST(t IS NULL AS INTEGER) AS SMALLINT) AS flags,
@@ -458,3 +451,6 @@ def synthetic_edges(spark, d):
 )
 def synthetic_sequences(spark, d):
     return synthetic.sequences(spark, 60, 400)
+
+
+from . import blocks, files  # noqa: E402, F401  (they enter more queries)

@@ -381,7 +381,7 @@ def label(spark, path: str, node: int) -> str | None:
 def predicates(headers: DataFrame) -> DataFrame:
     """module and what its flags say: simple, metadata, bidirectional (index), translation, zstd (graph, from version 4)."""
     on = lambda module, bit: F.when(F.col("module") == module, F.col("flags").bitwiseAND(bit) != 0)
-    zstd = on("graph", GRAPH_ZSTD) & (F.col("version") > 3)
+    zstd = F.when(F.col("module") == "graph", (F.col("flags").bitwiseAND(GRAPH_ZSTD) != 0) & (F.col("version") > 3))
     return headers.select("module", on("index", INDEX_SIMPLE).alias("simple"), on("index", INDEX_METADATA).alias("metadata"), on("index", INDEX_BIDIRECTIONAL).alias("bidirectional"), on("graph", GRAPH_TRANSLATION).alias("translation"), zstd.alias("zstd"))
 
 
