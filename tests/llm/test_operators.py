@@ -716,3 +716,23 @@ def test_token_table_shards_by_size(spark, monkeypatch):
     manifest = token_table.write(docs)
     assert manifest.count() >= 25  # the rows without an id as well
     assert token_table.read(manifest).count() == 300
+
+
+def test_other_tables_with_clashing_columns(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist(), 0, f"n{i}", i, 2.0) for i in range(20)] + [(99, None, 0, "x", 1, 0.0)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, node string, rep bigint, n double")
+    assert embed_dedup.near_vectors(vectors).count() == 21
+    talk = spark.createDataFrame([(1, 0, "user", "hi", "x", 3), (1, 1, "assistant", "ho", "y", 4)], "conv_id bigint, turn bigint, role string, text string, loss string, ids int")
+    assert [(r.n_turns, r.loss_chars) for r in chat_format.digests(talk).collect()] == [(2, 2)]
+
+
+def test_packing_with_binding_limits(spark, rows):
+    """Documents and attention cost bind: more sequences, each within all three."""
+    docs = docs_of(spark, rows)
+    bins = {}
+    for r in packing.pack_documents(docs, most_docs=4, most_cost=1024.0**2).collect():
+        bins.setdefault(r.sequence_id, []).append(r.length)
+    wide = packing.pack_documents(docs).select("sequence_id").distinct().count()
+    assert len(bins) > wide
+    assert all(sum(v) <= 2048 and len(v) <= 4 and (len(v) == 1 or sum(x * x for x in v) <= 1024**2) for v in bins.values())

@@ -29,3 +29,20 @@ def test_pipeline(spark, tmp_path):
         stage = f(spark, stage, str(tmp_path))
         assert stage.columns == docs.names
     assert {r.doc_id: r.text for r in stage.collect()}[104] == "the house and the mail <email> with that thing there"
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Columns that are named like those that the operators make inside come through."""
+    rows = [(i, f"the house and the thing {i % 4} with mail a{i}@b.cd there and so on", "en", "s", None, f"h{i}", i, "k", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, node bigint, kind string, recipe int")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert {(r.doc_id, r.h, r.node, r.kind, r.recipe) for r in out.collect()} <= {(i, f"h{i}", i, "k", 1) for i in range(12)}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 12
