@@ -105,3 +105,43 @@ def test_ordered_scans_keep_null_rows(spark):
     assert rows(ordered.neighbour(df, "k", "x", after=True)) == want(2, 9000, None)
     starts = spark.createDataFrame([(2,), (None,)], "s bigint")
     assert rows(ordered.as_of(df, starts, "k", "s", "x")) == want(None, 2, 2)
+
+
+def test_matches_and_sets(spark):
+    labels = spark.createDataFrame([(1, "AC"), (2, "GT"), (3, "GG"), (4, "TTA"), (5, "A")], "node_id bigint, seq string")
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (5, 5)], "from_node bigint, to_node bigint")
+    patterns = spark.createDataFrame([(1, "ACGTTT"), (2, "ACGGTTAACG"), (3, "GTT"), (4, "CC"), (5, "AAAA")], "pattern_id bigint, pattern string")
+    found = sorted(tuple(r) for r in graph.extend(patterns, labels, edges, 1, 3).collect())
+    assert found == [(1, 1, 4, 3), (2, 1, 2, 5), (2, 1, 3, 5), (3, 2, 4, 2), (5, 5, 5, 4)]
+    rng = random.Random(3)
+    sets = {k: {rng.randint(0, 30) for _ in range(rng.randint(1, 8))} for k in range(80)}
+    rows = spark.createDataFrame([(k, i) for k, own in sets.items() for i in own], "key bigint, item bigint")
+    from strandmap.operators import walks
+
+    for t in (0.3, 0.5, 0.8, 1.0):
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+        assert {(r.a, r.b) for r in walks.similar(rows, t).collect()} == want
+
+
+def test_packed_columns(spark):
+    from pyspark.sql import functions as F
+
+    from strandmap.functions import bits, dna
+
+    rng = random.Random(7)
+    for width in (1, 5, 19, 32):
+        values = [[rng.getrandbits(width) for _ in range(n)] for n in (0, 1, 3, 64, 100)]
+        df = spark.createDataFrame([(v,) for v in values], "v array<bigint>")
+        for r in df.select("v", bits.pack_ints(F.col("v"), width).alias("w")).collect():
+            whole = sum(x << width * i for i, x in enumerate(r.v))
+            assert [x % (1 << 64) for x in r.w] == [whole >> 64 * k & (1 << 64) - 1 for k in range(-(-len(r.v) * width // 64))]
+    s = F.col("s")
+    good = spark.createDataFrame([("ACGTN",), ("acgtnACGTNa",), ("",), ("N" * 30,)], "s string")
+    assert [r.b for r in good.select(dna.unpack(dna.pack(s, 3), F.length(s), 3).alias("b")).collect()] == ["ACGTN", "ACGTNACGTNA", "", "N" * 30]
+    assert dna.format_bits(good, "s") == 3 and dna.format_bits(good.where("s = ''"), "s") == 2
+    for text, width in (("ACGNT", 2), ("ACXT", 3), ("ACGT\n", 2), ("AC-", 3)):
+        with pytest.raises(Exception, match="not a base"):
+            spark.createDataFrame([(text,)], "s string").select(dna.pack(s, width)).collect()
+    assert spark.createDataFrame([(None,)], "s string").select(dna.pack(s)).first()[0] is None
+    parts = spark.createDataFrame([("ACG", "TTT")], "a string, b string").select(dna.pack(F.concat("a", "b"), flags=False).alias("w"), dna.unpack(dna.pack(F.concat("a", "b"), flags=False), F.lit(6)).alias("s")).first()
+    assert parts.s == "ACGTTT" and all(x >= 0 for x in parts.w)
