@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ordered
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only local sessions without one get a temporary folder."""
-    jsc = spark.sparkContext._jsc.sc()
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and jsc.getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandmap-"))
-    return (found or jsc.getCheckpointDir().get()).rstrip("/")
+from .storage import drop, materialize
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the session names."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage by a table in the shared folder."""
+    return materialize(df, "cut")
 
 
 def unitigs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,16 +173,20 @@ def flatten_blocks(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node_id, component: the smallest node reachable, by minimum labels and pointer jumping."""
-    both = cut(edges.select("from_node", "to_node").union(edges.select("to_node", "from_node")).distinct())
-    label, seen = nodes.select("node_id", F.col("node_id").alias("component")), None
+    """node_id, component: the smallest node reachable, by minimum labels and pointer jumping. Nodes without an
+    edge take no part in the rounds."""
+    both = cut(edges.select("from_node", "to_node").union(edges.select("to_node", "from_node")).where("from_node <> to_node").distinct())
+    label = both.groupBy(F.col("from_node").alias("node_id")).agg(F.least(F.first("from_node"), F.min("to_node")).alias("component"))
+    label, seen = cut(label), None
     for _ in range(100):
+        old = label
         low = both.join(label, both["to_node"] == label["node_id"]).groupBy("from_node").agg(F.min("component").alias("m"))
-        label = label.join(low, label["node_id"] == low["from_node"], "left").select("node_id", F.least("component", "m").alias("component"))
+        label = label.join(low, label["node_id"] == low["from_node"]).select("node_id", F.least("component", "m").alias("component"))
         jump = label.select(F.col("node_id").alias("component"), F.col("component").alias("c2"))
-        label = cut(label.join(jump, "component", "left").select("node_id", F.least("component", "c2").alias("component")))
+        label = cut(label.join(jump, "component").select("node_id", F.least("component", "c2").alias("component")))
+        drop(old)
         now = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == seen:
-            return label
+            return nodes.select("node_id").join(label, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
         seen = now
     raise RuntimeError("components did not settle")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, codec, dna
 from ..operators import graph, ordered, walks
+from ..operators.storage import new_path
 from ..sources import block_rows as rows_sink
 from ..sources import synthetic
 from . import tables as t
@@ -424,7 +423,7 @@ def block_rows(spark, d):
     out = e.groupBy(F.col("from_node").alias("node_id")).agg(F.array_sort(F.collect_list(bits.node_type(F.col("to_node"), F.lit(0)))).alias("targets"))
     seq = F.substring(F.translate(F.md5(F.col("node_id").cast("string")), "0123456789abcdef", "ACGT" * 4), 1, 17)
     rows = graph.unitigs(e, walks.nodes(w)).join(out, "node_id", "left").select(F.expr("node_id div 5000").alias("range_id"), "ord", "node_id", seq.alias("seq"), "targets", (F.col("ord") == 0).alias("is_start"), F.col("targets").isNull().alias("is_end"))
-    path = f"{graph.shared_dir(spark)}/strandmap/block-rows-{uuid.uuid4().hex}"
+    path = new_path(spark, "block-rows")
     rows_sink.write(rows, path)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return rows_sink.read(spark, path).select("range_id", "node_id", "ord", "edge_count", "flags", joined("edges").alias("edges"), joined("edge_orientations").alias("orientations"), "seq")

@@ -3,13 +3,12 @@ fortieth order whose parts are all different a walk; its text is written to the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, dna
-from ..operators import graph, walks
+from ..operators import walks
+from ..operators.storage import new_path
 from ..sources import block_rows as rows_sink
 from ..sources import container, gfa
 from . import tables as t
@@ -37,10 +36,10 @@ def made(spark: SparkSession, d: str) -> tuple[str, str, gfa.Graph]:
     """The text's folder, the container and the imported graph."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _made:
-        base = f"{graph.shared_dir(spark)}/strandmap/graph-{uuid.uuid4().hex}"
+        base = new_path(spark, "graph")
         text_of(spark, d).coalesce(1).write.text(f"{base}/text")
         g = gfa.Graph(spark, f"{base}/text")
-        path = f"{base}/text/graph.bin" if ":/" not in base else f"{base}/graph.bin"
+        path = f"{base}/graph.bin"
         g.write_container(path)
         _made[key] = (f"{base}/text/part-*", path, g)
     return _made[key]
@@ -150,7 +149,7 @@ def container_lookup(spark, d):
 )
 def gfa_block_rows(spark, d):
     """The text graph decomposed, written as block rows and read back."""
-    path = f"{graph.shared_dir(spark)}/strandmap/block-rows-{uuid.uuid4().hex}"
+    path = new_path(spark, "block-rows")
     made(spark, d)[2].write_block_rows(path)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     rows = rows_sink.read(spark, path)
@@ -161,6 +160,6 @@ def gfa_block_rows(spark, d):
 @query(f"WITH {GRAPH}, e AS (SELECT DISTINCT node_id, to_node FROM x WHERE to_node IS NOT NULL) SELECT (SELECT count(*) FROM s) AS records, (SELECT CAST(sum(length(seq)) AS BIGINT) FROM s) AS bases, (SELECT count(*) FROM e) AS edges")
 def run_summary(spark, d):
     """Totals of the block rows."""
-    path = f"{graph.shared_dir(spark)}/strandmap/block-rows-{uuid.uuid4().hex}"
+    path = new_path(spark, "block-rows")
     made(spark, d)[2].write_block_rows(path)
     return rows_sink.summary(rows_sink.read(spark, path)).select("records", "bases", "edges")

@@ -57,7 +57,7 @@ class Words:
     """A seekable file of 64-bit words."""
 
     def __init__(self, path: str):
-        system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system, name = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
         self.file = system.open_input_file(name)
         self.size, self.at = self.file.size(), 0
 
@@ -503,7 +503,7 @@ def write(
     labels = [r[0] for r in column(sequences, "node_id", "seq")]
     places = column(segments, "start_node", "name", "start_node") if segments is not None else []
     flags = INDEX_SIMPLE | (INDEX_BIDIRECTIONAL if bidirectional else 0) | (INDEX_METADATA if meta else 0)
-    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, name = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
     with system.open_output_stream(name) as out:
         out.write(words(CONTAINER_TAG | 1 << 32, 0) + tags_bytes(tags or {}))
         out.write(words(INDEX_TAG | 5 << 32, len(rows) * (2 if bidirectional else 1), total, offset, len(lengths) + offset, flags) + tags_bytes(index_tags or {}))
