@@ -3,10 +3,6 @@ shared folder, bounded Arrow batches and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +11,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import drop, materialize, new_path  # noqa: F401  (the operators take them from here)
+
 #: Bytes of text that a Python worker holds at once, besides one oversized row.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
@@ -30,69 +28,6 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the cluster names none (local tests) a temporary one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandmap-"))
-        found = jsc.getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-#: Folders of this process that are not deleted yet.
-_tables: dict[str, SparkSession] = {}
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared one. It lasts as long as the driver's process, as lazy results
-    may read it; at the end it is deleted, if not before."""
-    path = f"{shared_dir(spark)}/strandmap/{name}-{uuid.uuid4().hex}"
-    if not _tables:
-        atexit.register(sweep)
-    _tables[path] = spark
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    _tables.pop(path, None)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def sweep() -> None:
-    """Delete the folders of new_path() that nothing dropped."""
-    for path, spark in list(_tables.items()):
-        with contextlib.suppress(Exception):  # the session may be gone
-            delete(spark, path)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
-
-    This cuts the lineage, computes Python stages once and survives lost executors.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._strandmap_path = path
-    return out
-
-
-def drop(df: DataFrame | None) -> None:
-    """Delete a table that materialize() wrote."""
-    path = getattr(df, "_strandmap_path", None)
-    if path:
-        delete(df.sparkSession, path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -121,6 +121,22 @@ def recipes(docs: DataFrame, name: Callable[[bytes], bytes] = digest) -> DataFra
     return out.join(suspect.withColumn("suspect", F.lit(True)), "recipe", "left").select("doc_id", "h", "n_cp", "sha", F.when(F.col("suspect"), F.concat(F.lit(b"whole:"), F.unhex("sha"))).otherwise(F.col("recipe")).alias("recipe"))
 
 
+#: A group of more rows than HOT, and than one in GROUPS of all, is joined by broadcast: there are fewer than
+#: GROUPS of these, with recipes of at most SHORT bytes. Longer ones stay in the join by recipe, which AQE splits.
+HOT, GROUPS, SHORT = 1000, 10_000, 1024
+
+
+def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the columns of their recipe's group (recipe, group_size, ...). Large groups do not go to one task."""
+    groups = materialize(groups, "groups")
+    least = max(HOT, (groups.agg(F.sum("group_size")).first()[0] or 0) // GROUPS)
+    large = (F.col("group_size") > least) & (F.length("recipe") <= SHORT)
+    names = [c for c in groups.columns if c != "recipe"]
+    marked = rows.join(F.broadcast(groups.where(large)), "recipe", "left")  # bounded, as said above
+    rest = marked.where("group_size is null").drop(*names).join(groups.where(~large), "recipe")
+    return marked.where("group_size is not null").unionByName(rest)
+
+
 def exact_groups(docs: DataFrame, name: Callable[[bytes], bytes] = digest) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -129,7 +145,7 @@ def exact_groups(docs: DataFrame, name: Callable[[bytes], bytes] = digest) -> Da
     """
     rows = recipes(docs, name)
     best = rows.groupBy("recipe").agg(F.min(F.struct((-F.col("n_cp")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("best"), F.count("*").alias("group_size"))
-    return rows.join(best.select("recipe", F.col("best.id").alias("keep_id"), "group_size"), "recipe").select(
+    return with_groups(rows, best.select("recipe", F.col("best.id").alias("keep_id"), "group_size")).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import drop, materialize
 
 LIMIT, STEP, DEEPEST = 1 << 20, 12, 60
+#: Bytes of text that a task writes, about.
+TASK = 32 << 20
 
 
 def hash_of() -> F.Column:
@@ -101,9 +103,11 @@ def write(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """The documents as Parquet, one folder per shard, named by depth, bucket and page; all rows and columns kept."""
     sizes = materialize(hashed(docs.select("doc_id", "text")).select(F.col("_h").alias("h"), F.col("_bytes").alias("bytes")), "hashes")
     shards = materialize(directory(sizes, limit), "shards")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
     drop(sizes)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
     name = F.concat_ws("-", "_depth", "_bucket", "_page").alias(SHARD)
-    place(hashed(docs), shards, limit).select(*docs.columns, name).repartition(SHARD).write.partitionBy(SHARD).option("compression", "zstd").parquet(path)
+    place(hashed(docs), shards, limit).select(*docs.columns, name).repartition(tasks, SHARD).write.partitionBy(SHARD).option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
