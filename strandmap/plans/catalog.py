@@ -452,4 +452,25 @@ def synthetic_sequences(spark, d):
     return synthetic.sequences(spark, 60, 400)
 
 
+LOOPED = f"""n AS (SELECT range AS id, range % 400 AS p FROM range(24000)), c AS (
+        SELECT id + 1 AS from_node, unnest(CASE WHEN p = 399 OR (p > 150 AND p % 150 = 2) THEN [] WHEN p >= 150 AND p % 150 = 0 THEN CASE WHEN p + 2 < 400 THEN [2] ELSE [] END WHEN p > 150 AND p % 150 = 1 THEN [1] WHEN (p + 1) % 150 = 0 AND p + 3 < 400 THEN [1, 1, 2] ELSE [1] END) AS step FROM n),
+    y AS (SELECT DISTINCT {drawn("cycle", "range", 60)} AS c FROM range(30)),
+    o AS (SELECT range AS i, {drawn("from", "range", 60)} AS a, {drawn("to", "range", 60)} AS b FROM range(100)),
+    e AS (SELECT from_node, from_node + step AS to_node FROM c UNION ALL SELECT (c + 1) * 400, c * 400 + 1 FROM y
+    UNION ALL SELECT a * 400 + 1 + {drawn("from node", "i", 400)}, b * 400 + 1 + {drawn("to node", "i", 400)} FROM o WHERE a <> b UNION ALL SELECT 0, (range + 1) * 400 FROM range(60))"""
+
+
+@query(f"WITH {LOOPED} SELECT from_node, to_node FROM e")
+def synthetic_looped(spark, d):
+    return synthetic.looped_edges(spark, 60, 400)
+
+
+@query(f"WITH {LOOPED}, g AS (SELECT from_node, count(*) AS n, string_agg(2 * to_node, ',' ORDER BY to_node) AS t FROM e GROUP BY 1) SELECT 2 * range + o AS type, coalesce(n, 0) AS edges, coalesce(t, '') AS targets, CASE WHEN n > 0 THEN 10 ELSE 0 END AS haplotypes FROM range(24001) CROSS JOIN (SELECT unnest([0, 1]) AS o) LEFT JOIN g ON from_node = range")
+def synthetic_records(spark, d):
+    """Records of the looped graph: edges, targets, and the haplotypes that their runs add up to."""
+    rows = synthetic.looped_records(spark, 60, 400)
+    targets = F.array_join(F.transform("outgoing", lambda o: o["to"].cast("string")), ",")
+    return rows.select("type", F.size("outgoing").cast("bigint").alias("edges"), targets.alias("targets"), codec.run_total(F.col("runs")).cast("int").alias("haplotypes"))
+
+
 from . import blocks, files  # noqa: E402, F401  (they enter more queries)

@@ -483,8 +483,17 @@ def tags_bytes(tags: dict[str, str]) -> bytes:
     return strings_bytes([x for k, v in tags.items() for x in (k.lower(), v)])
 
 
+def da_bytes(rows: list[tuple[str, int]]) -> bytes:
+    """The block of samples, from (part, value) in order: marked records, ranges, offsets and the array."""
+    own = {name: [v for p, v in rows if p == name] for name in ("marked", "ranges", "offsets", "array")}
+    array = np.array(own["array"], np.uint64)
+    marked = np.array(own["marked"], np.int64)
+    out = bits_bytes(marked, int(marked[-1]) + 1 if len(marked) else 0) + sparse_bytes(own["ranges"]) + sparse_bytes(own["offsets"]) + ints_bytes(array, least_width(int(array.max()) if len(array) else 0))
+    return words(len(out) // 8) + out
+
+
 def write(
-    path: str, records: DataFrame, sequences: DataFrame, paths: DataFrame | None = None, samples: DataFrame | None = None, contigs: DataFrame | None = None, segments: DataFrame | None = None, tags: dict | None = None, index_tags: dict | None = None, offset: int = 1, bidirectional: bool = True, zstd: bool = True
+    path: str, records: DataFrame, sequences: DataFrame, paths: DataFrame | None = None, samples: DataFrame | None = None, contigs: DataFrame | None = None, segments: DataFrame | None = None, tags: dict | None = None, index_tags: dict | None = None, offset: int = 1, bidirectional: bool = True, zstd: bool = True, da_samples: DataFrame | None = None
 ) -> None:
     """Write a container. The format is one sequential file, so the driver writes it. Records come encoded from the
     executors, in order of record_id, and are written as they come; of them the driver holds their lengths, of
@@ -511,7 +520,8 @@ def write(
         for r in encoded.select("data").toLocalIterator():
             out.write(bytes(r[0]))
         out.write(bytes(-sum(lengths) % 8))
-        out.write(words(0) + words(len(meta) // 8) + meta)
+        da = [(r.part, r.value) for r in da_samples.orderBy("part", "idx").collect()] if da_samples is not None else []
+        out.write((da_bytes(da) if da else words(0)) + words(len(meta) // 8) + meta)
         out.write(words(GRAPH_TAG | (4 if zstd else 3) << 32, len(labels), (GRAPH_TRANSLATION if places else 0) | GRAPH_ZSTD))
         out.write(zstd_bytes(labels) if zstd else strings_bytes(labels))
         out.write(strings_bytes([p[0] for p in places]) + sparse_bytes([p[1] for p in places]))

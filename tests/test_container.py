@@ -59,3 +59,13 @@ def test_round_trip(spark, tmp_path, zstd):
     (tmp_path / "bad").write_bytes(b"x" * 64)
     with pytest.raises(ValueError):
         c.layout(c.Words(str(tmp_path / "bad")))
+
+
+def test_samples_come_back(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    rec = spark.createDataFrame([(0, [(2, 0)], [(0, 1)])], "record_id bigint, outgoing array<struct<to:bigint,rank_offset:bigint>>, runs array<struct<outrank:bigint,len:bigint>>")
+    seq = spark.createDataFrame([(1, "ACGT")], "node_id bigint, seq string")
+    rows = [("marked", 0, 1), ("marked", 1, 7), ("ranges", 0, 0), ("ranges", 1, 9), ("offsets", 0, 3), ("array", 0, 5), ("array", 1, 0), ("array", 2, 300)]
+    c.write(path, rec, seq, da_samples=spark.createDataFrame(rows, "part string, idx bigint, value bigint"))
+    assert sorted(tuple(r) for r in c.read(spark, path, "da_samples").collect()) == sorted(rows)
+    assert [r.seq for r in c.read(spark, path, "sequences").collect()] == ["ACGT"]
