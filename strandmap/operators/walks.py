@@ -74,7 +74,7 @@ def outranks(walks: DataFrame) -> DataFrame:
 
 def prefix_ranks(walks: DataFrame) -> DataFrame:
     """walks with rank: visits in the order of their reversed prefix (the node before, the one before that,
-    ...; a prefix that ends sooner comes first). Equal prefixes have equal ranks.
+    ...; a prefix that ends sooner comes first). Equal prefixes have equal ranks. There may be 2^31 different ones.
 
     Rank doubling: ranks by 2k nodes back come from pairs of ranks by k, the own and that of the visit k steps
     before. The number of rounds is the logarithm of the longest walk. Pairs are numbered by ordered scans."""
@@ -94,6 +94,7 @@ def prefix_ranks(walks: DataFrame) -> DataFrame:
 def lf_positions(walks: DataFrame) -> DataFrame:
     """Position of each visit among its node's visits, ordered by reversed prefix, then path; and
     the position that following the edge gives: rank offset plus earlier visits with that edge."""
+    walks = graph.cut(walks)
     pos = Window.partitionBy("node_id").orderBy("rank", "path_id")
     rows = prefix_ranks(walks).withColumn("to_node", F.lead("node_id").over(path()))
     rows = graph.cut(rows.select("path_id", "step", "node_id", "to_node", (F.row_number().over(pos) - 1).cast("bigint").alias("position")))
@@ -118,6 +119,7 @@ def records(walks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Compressed records of the walks, one row a node: node_id, outgoing (to, rank_offset, by target; 0 is the end
     of a walk), runs (outrank, len) of its visits in the order of their reversed prefixes. Row 0 holds where the
     walks begin, in the order of path_id. Nodes are positive. edges: more of them, which no walk need take."""
+    walks = graph.cut(walks)
     rows = prefix_ranks(walks).select("node_id", "rank", "path_id", F.coalesce(F.lead("node_id").over(path()), F.lit(0)).alias("to_node"))
     begins = walks.where("step = 1").select(F.lit(0).cast("bigint").alias("node_id"), F.lit(0).cast("bigint").alias("rank"), "path_id", F.col("node_id").alias("to_node"))
     rows = graph.cut(rows.unionByName(begins))
