@@ -145,3 +145,24 @@ def test_packed_columns(spark):
     assert spark.createDataFrame([(None,)], "s string").select(dna.pack(s)).first()[0] is None
     parts = spark.createDataFrame([("ACG", "TTT")], "a string, b string").select(dna.pack(F.concat("a", "b"), flags=False).alias("w"), dna.unpack(dna.pack(F.concat("a", "b"), flags=False), F.lit(6)).alias("s")).first()
     assert parts.s == "ACGTTT" and all(x >= 0 for x in parts.w)
+
+
+def test_ordered_scans_in_blocks_of_ranges(spark):
+    """Many ranges and many blocks of ranges, with gaps between them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    keys = sorted(rng.sample(range(-500, 4000), 300))
+    rows = {k: rng.randint(-5, 9) for k in keys}
+    df = spark.createDataFrame(list(rows.items()), "k bigint, v bigint")
+    total, sums = 0, {}
+    for k in keys:
+        total += rows[k]
+        sums[k] = total
+    for width in (3, 7):
+        assert {r.k: r.x for r in ordered.running_sum(df, "k", F.col("v"), "x", width).collect()} == sums
+        assert {r.k: r.x for r in ordered.neighbour(df, "k", "x", width=width).collect()} == dict(zip(keys, [None, *keys]))
+        assert {r.k: r.x for r in ordered.neighbour(df, "k", "x", after=True, width=width).collect()} == dict(zip(keys, [*keys[1:], None]))
+        starts = [k for k in keys if k % 11 == 0]
+        got = ordered.as_of(df, spark.createDataFrame([(s,) for s in starts], "s bigint"), "k", "s", "x", width)
+        assert {r.k: r.x for r in got.collect()} == {k: max((s for s in starts if s <= k), default=None) for k in keys}
