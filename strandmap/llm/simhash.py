@@ -149,12 +149,13 @@ def _replicas(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """(a, b): representatives of the fingerprints (fp, rep) that differ in 1 or 2 bits, each pair once."""
+    """(a, b): representatives of the fingerprints (fp, rep) that differ in 1 or 2 bits, each pair once. Spark takes the
+    replicas for as small as the classes' files, so that it must be told not to send them through the driver."""
     schema = "anchor int, fp bigint, rep bigint"
     h = classes.select("fp", "rep").mapInArrow(_homes, schema).alias("h")
     r = classes.select("fp", "rep").mapInArrow(_replicas, schema).alias("r")
     close = F.expr(f"h.anchor = r.anchor and h.fp < r.fp and bit_count(h.fp ^ r.fp) <= {THRESHOLD}")
-    return h.join(r, close).select(F.col("h.rep").alias("a"), F.col("r.rep").alias("b"))
+    return h.join(r.hint("merge"), close).select(F.col("h.rep").alias("a"), F.col("r.rep").alias("b"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -46,3 +46,16 @@ def test_stages_keep_clashing_columns(spark, tmp_path):
         assert out.columns == docs.columns
         assert {(r.doc_id, r.h, r.node, r.kind, r.recipe) for r in out.collect()} <= {(i, f"h{i}", i, "k", 1) for i in range(12)}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 12
+
+
+def test_near_stage_broadcasts_no_replicas(spark, tmp_path, monkeypatch):
+    plans, components = [], simhash.components
+
+    def seen(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return components(links)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    docs = spark.createDataFrame([(i, f"the house and number {i % 7} there", "en", "s", None) for i in range(20)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert corpus_pipeline.near(spark, docs, str(tmp_path)).count() <= 7
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
