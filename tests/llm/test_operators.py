@@ -736,3 +736,10 @@ def test_packing_with_binding_limits(spark, rows):
     wide = packing.pack_documents(docs).select("sequence_id").distinct().count()
     assert len(bins) > wide
     assert all(sum(v) <= 2048 and len(v) <= 4 and (len(v) == 1 or sum(x * x for x in v) <= 1024**2) for v in bins.values())
+
+
+def test_replicas_are_not_broadcast(spark):
+    """The classes' files are small, their replicas are about 61 times as many rows."""
+    classes = common.materialize(spark.range(2000).select((F.col("id") * 7919).alias("fp"), F.col("id").alias("rep")), "classes")
+    plan = simhash.links(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
