@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandmap.sources import container as c
 
@@ -69,3 +70,20 @@ def test_samples_come_back(spark, tmp_path):
     c.write(path, rec, seq, da_samples=spark.createDataFrame(rows, "part string, idx bigint, value bigint"))
     assert sorted(tuple(r) for r in c.read(spark, path, "da_samples").collect()) == sorted(rows)
     assert [r.seq for r in c.read(spark, path, "sequences").collect()] == ["ACGT"]
+
+
+def test_records_keep_their_order_over_many_files(spark, tmp_path):
+    """Record i goes to node 2 * i + 2; the last records have the longest bytes, and so the largest files."""
+    path = str(tmp_path / "graph")
+    runs = F.expr("transform(sequence(0, cast(id * 3 as int)), x -> struct(cast(0 as bigint) as outrank, x + 1000L as len))")
+    rec = spark.range(400).select(F.col("id").alias("record_id"), F.array(F.struct((2 * F.col("id") + 2).alias("to"), F.lit(0).cast("bigint").alias("rank_offset"))).alias("outgoing"), runs.alias("runs"))
+    seq = spark.createDataFrame([(1, "ACGT")], "node_id bigint, seq string")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        c.write(path, rec, seq)
+    finally:
+        spark.conf.set(key, before)
+    got = {r.record_id: (r.outgoing[0].to, len(r.runs)) for r in c.read(spark, path, "records", rows=90).collect()}
+    assert got == {i: (2 * i + 2, 3 * i + 1) for i in range(400)}
