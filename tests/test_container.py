@@ -1,11 +1,13 @@
 """The binary container: parts against plain values, a whole file there and back."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandmap.plans import files
 from strandmap.sources import container as c
 
 
@@ -87,3 +89,14 @@ def test_records_keep_their_order_over_many_files(spark, tmp_path):
         spark.conf.set(key, before)
     got = {r.record_id: (r.outgoing[0].to, len(r.runs)) for r in c.read(spark, path, "records", rows=90).collect()}
     assert got == {i: (2 * i + 2, 3 * i + 1) for i in range(400)}
+
+
+def test_edges_are_listed_without_their_runs(spark, monkeypatch):
+    """An edge that no run takes has support 0; no edge's row holds the runs of its record."""
+    rows = [(0, [(2, 0), (4, 0), (6, 1)], [(0, 3), (2, 1), (0, 4)]), (1, [], []), (2, [(0, 0)], [(0, 300)])]
+    rec = spark.createDataFrame(rows, "record_id bigint, outgoing array<struct<to:bigint,rank_offset:bigint>>, runs array<struct<outrank:bigint,len:bigint>>")
+    monkeypatch.setattr(files, "module", lambda *_: rec)
+    out = files.container_edges(spark, "")
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 0, 2, 7), (0, 1, 4, 0), (0, 2, 6, 1), (2, 0, 0, 300)]
+    listed = re.findall(r"Generate posexplode\([^)]*\), \[([^]]*)\]", out._jdf.queryExecution().executedPlan().toString())
+    assert listed and not any("runs" in x for x in listed)
