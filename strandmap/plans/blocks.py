@@ -229,11 +229,12 @@ def stack_entries(spark, d):
 
 @query("WITH k AS (SELECT o_custkey, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, (n * 19 + 63) // 64 AS words, i, v FROM k")
 def packed_ints(spark, d):
-    """Each customer's order keys in 19 bits each, and every one read from the words."""
+    """Each customer's order keys in 19 bits each, what passes these beside them, and every one read from both."""
     rows = t.table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
-    rows = rows.select("o_custkey", F.size("v").alias("n"), bits.pack_ints(F.col("v"), 19).alias("w"))
-    rows = rows.select("o_custkey", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return rows.select("o_custkey", F.size("w").cast("bigint").alias("words"), F.col("i").cast("bigint").alias("i"), bits.int_at(F.col("w"), F.col("i"), 19).alias("v"))
+    words, above = bits.pack_split(F.col("v"), 19)
+    rows = rows.select("o_custkey", F.size("v").alias("n"), words.alias("w"), above.alias("above"))
+    rows = rows.select("o_custkey", "w", "above", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    return rows.select("o_custkey", F.size("w").cast("bigint").alias("words"), F.col("i").cast("bigint").alias("i"), bits.split_at(F.col("w"), F.col("above"), F.col("i"), 19).alias("v"))
 
 
 #: Words of 10 bases at 3 bits; the last position of each document is read from them.

@@ -166,3 +166,13 @@ def test_ordered_scans_in_blocks_of_ranges(spark):
         starts = [k for k in keys if k % 11 == 0]
         got = ordered.as_of(df, spark.createDataFrame([(s,) for s in starts], "s bigint"), "k", "s", "x", width)
         assert {r.k: r.x for r in got.collect()} == {k: max((s for s in starts if s <= k), default=None) for k in keys}
+
+
+def test_packed_keys_of_any_size(spark, tmp_path):
+    """Order keys of more than 19 bits, beside smaller ones of the same customer and alone."""
+    from strandmap.plans import blocks
+
+    keys = {1: [5, 524287, 524288, 9_000_000, 2**40 + 7, 2**62], 2: [0, 1, 524287], 3: [-1, 600_000], 4: [2**31] * 9}
+    spark.createDataFrame([(c, k) for c, own in keys.items() for k in own], "o_custkey bigint, o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in blocks.packed_ints(spark, str(tmp_path)).collect())
+    assert got == [(c, -(-len(own) * 19 // 64), i, k) for c, own in keys.items() for i, k in enumerate(sorted(own))]
