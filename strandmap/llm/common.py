@@ -16,6 +16,8 @@ from ..operators.storage import drop, materialize, new_path  # noqa: F401  (the
 #: Bytes of text that a Python worker holds at once, besides one oversized row.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
+#: Edges up to which Spark may broadcast them, and so send them through the driver.
+FEW_EDGES = 50_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -102,23 +104,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges has two bigint columns. Each partition first shrinks its edges to a forest;
     then large-star and small-star steps alternate (a logarithmic number in practice),
     each round a table in the shared folder. Minima are pre-aggregated, and the
-    joins are plain equi-joins whose hot keys AQE can split. Nodes without edges are
-    not returned. Nothing but a count and a checksum reaches the driver.
+    joins are plain equi-joins. Beyond FEW_EDGES their sides are tables of their own, joined by
+    sort-merge: AQE can split their hot keys, and the driver gets no broadcast that grows with the
+    edges. Nodes without edges are not returned. Besides, a count and a checksum reach the driver.
     """
+
+    def tally(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a is not null and b is not null and a <> b")
     e = materialize(e.mapInArrow(_forest, "a bigint, b bigint").distinct(), "edges")
-    state = None
+    state = tally(e)
     for _ in range(rounds):
+        many = state[0] > FEW_EDGES
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = materialize(low, "least") if many else low
+        large = both.where("b > a").join(low.hint("merge") if many else low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialize(large, "large") if many else large
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low2.select("a", F.col("m").alias("b"))).distinct()
+        low2 = materialize(low2, "least") if many else low2
+        small = large.join(low2.hint("merge") if many else low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low2.select("a", F.col("m").alias("b"))).distinct()
         new = materialize(small, "edges")
-        drop(e)
+        for old in (e, low, large, low2):
+            drop(old)
         e = new
-        seen = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        seen = tally(e)
         if seen == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
         state = seen

@@ -159,15 +159,17 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, h (hash of the text), fp, node (one for each group), component_id."""
+    """One row per document: doc_id, h (hash of the text), fp, node (one for each group), component_id. Every join here has
+    sides that grow with the documents, in files much smaller than their rows: none may go through the driver."""
     tune(docs.sparkSession)
     fps = materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_fingerprints, "doc_id bigint, h bigint, fp bigint"), "fingerprints")
     # classes are named by a number of their own, as all their doc_ids may be null
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     found = components(links(classes))
-    classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("node"))
-    names = classes.groupBy("node").agg(F.min("least").alias("component_id"))
-    return fps.join(classes.join(names, "node").select("fp", "node", "component_id"), "fp")
+    classes = classes.join(found.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("fp", "least", F.coalesce("component", "rep").alias("node"))
+    # a table, so that AQE can split the node of a large group
+    names = materialize(classes.groupBy("node").agg(F.min("least").alias("component_id")), "names")
+    return fps.join(classes.join(names.hint("merge"), "node").select("fp", "node", "component_id").hint("merge"), "fp")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

@@ -743,3 +743,43 @@ def test_replicas_are_not_broadcast(spark):
     classes = common.materialize(spark.range(2000).select((F.col("id") * 7919).alias("fp"), F.col("id").alias("rep")), "classes")
     plan = simhash.links(classes)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Broadcast")
+
+
+def test_groups_send_no_documents_through_the_driver(spark, rows, monkeypatch):
+    """Files of copies are small however many rows they hold, so that Spark would broadcast a row for each document."""
+    plans, materialize = {}, simhash.materialize
+
+    def seen(df, name):
+        plans[name] = broadcasts(df)
+        return materialize(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    out = simhash.near_groups(docs_of(spark, rows))
+    assert broadcasts(out) == 0
+    assert plans and not any(plans.values())
+    assert out.count() == len(rows)
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    """Beyond FEW_EDGES nothing is broadcast; the components are the same, a hub's too, and no table of a round is left."""
+    edges = [(i, i + 1) for i in range(0, 200)] + [(5000 + i, 5000) for i in range(300)] + [(900 + i % 7, 910 + i) for i in range(60)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)
+    few = got(common.components(df), "node", "component")
+    plans, paths, dropped, materialize, drop = [], [], [], common.materialize, common.drop
+
+    def seen(df, name):
+        plans.append(broadcasts(df))
+        out = materialize(df, name)
+        paths.append(out._strandmap_path)
+        return out
+
+    monkeypatch.setattr(common, "materialize", seen)
+    monkeypatch.setattr(common, "drop", lambda df: (dropped.append(getattr(df, "_strandmap_path", None)), drop(df)))
+    monkeypatch.setattr(common, "FEW_EDGES", 0, raising=False)
+    assert got(common.components(df), "node", "component") == few
+    assert not any(plans)
+    assert set(paths) - set(dropped) == {paths[-1]}
